@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelake.llm import chat, mixing, sharding
+from queuelake.llm import bpe, chat, mixing, quality, secrets, sharding
 from queuelake.llm.common import save
 
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = save(mixing.keyed(docs).select("doc_id", "source", "__ql_size", "__ql_hash"))
@@ -43,6 +51,10 @@ FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source JOIN e ON k.source IS NO
 """
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.vocabulary())
+
+
 def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -69,5 +81,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mix_sources": op4_mix_sources, "op8_format_chats": op8_format_chats, "op10_shard": op10_shard}
+QUERIES = {"op1_quality": op1_quality, "op3_secrets": op3_secrets, "op4_mix_sources": op4_mix_sources, "op6_bpe": op6_bpe, "op8_format_chats": op8_format_chats, "op10_shard": op10_shard}
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op8_format_chats": OP8_SQL}
