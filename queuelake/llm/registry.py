@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelake.llm import bpe, chat, mixing, quality, secrets, sharding
+from queuelake.llm import bpe, chat, minhash, mixing, quality, secrets, sharding, vectors
 from queuelake.llm.common import save
 
 
@@ -51,6 +51,23 @@ FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source JOIN e ON k.source IS NO
 """
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by brute force; components by spreading the least id along links.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.vocabulary())
 
@@ -77,9 +94,22 @@ FROM x GROUP BY conv_id
 """
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.mark(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_secrets": op3_secrets, "op4_mix_sources": op4_mix_sources, "op6_bpe": op6_bpe, "op8_format_chats": op8_format_chats, "op10_shard": op10_shard}
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op8_format_chats": OP8_SQL}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_secrets": op3_secrets,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_vectors": op5_vectors,
+    "op6_bpe": op6_bpe,
+    "op8_format_chats": op8_format_chats,
+    "op9_minhash": op9_minhash,
+    "op10_shard": op10_shard,
+}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_vectors": OP5_SQL, "op8_format_chats": OP8_SQL}
