@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelake.llm import bpe, chat, minhash, mixing, quality, secrets, sharding, vectors
+from queuelake.llm import bpe, chat, extraction, merkle, minhash, mixing, quality, secrets, sharding, vectors
 from queuelake.llm.common import save
 
 
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -104,10 +112,12 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_extract": op2_extract,
     "op3_secrets": op3_secrets,
     "op4_mix_sources": op4_mix_sources,
     "op5_vectors": op5_vectors,
     "op6_bpe": op6_bpe,
+    "op7_fingerprints": op7_fingerprints,
     "op8_format_chats": op8_format_chats,
     "op9_minhash": op9_minhash,
     "op10_shard": op10_shard,
