@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from queuelake.llm import bpe, chat, extraction, merkle, minhash, mixing, quality, secrets, sharding, vectors
 from queuelake.llm.common import save
 
@@ -121,5 +121,6 @@ QUERIES = {
     "op8_format_chats": op8_format_chats,
     "op9_minhash": op9_minhash,
     "op10_shard": op10_shard,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_vectors": OP5_SQL, "op8_format_chats": OP8_SQL}
