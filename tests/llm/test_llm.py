@@ -1,0 +1,536 @@
+"""The training-data operators against brute force, round trips, held-out labels and DuckDB, on small fixtures."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from queuelake.llm import bpe, chat, extraction, merkle, minhash, mixing, quality, registry, secrets, sharding, vectors
+from queuelake.llm.common import number_rows
+from queuelake.llm.graph import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in every column, empty and blank texts, ties, repeated rows, a long text.
+ODD = [
+    (None, None, None, None, None),
+    (1, "", "en", "b", 0),
+    (1, "", "en", "b", 0),
+    (2, None, "en", "a", None),
+    (2, "one two three four five six seven eight nine ten", None, None, 49),
+    (3, "one two three four five six seven eight nine ten", "en", "a", 49),
+    (None, "no id here but words and words", "en", "c", 30),
+    (4, "  \n\n \t ", "en", "\x00", 7),
+    (5, "<|endoftext|> password=abcdef123456 'quote' ünïcödé \U0001f600", "en", "zz", 60),
+    (6, "word " * 30000, "de", "a", 150000),
+    (7, "x" * 100000, "de", "a", 100000),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).withColumn("size", F.lit("clash")).withColumn("text_crc32", F.lit(1)).withColumn("key", F.lit(2)).withColumn("node", F.lit(3))
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def duck(sql, **tables):
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toPandas())
+    return con.sql(sql)
+
+
+# Shared parts
+
+
+def test_number_rows_is_gapless_and_ordered(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(100)], "a long, b long")
+    got = sorted((r["n"], r["a"], r["b"]) for r in number_rows(rows, ["a", "b"], "n").collect())
+    assert [g[0] for g in got] == list(range(100))
+    assert [g[1:] for g in got] == sorted(((r["a"], r["b"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_components_of_chains_and_hubs(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    for x in {x for e in edges if e[0] != e[1] for x in e}:
+        assert got[x] == root(x)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1. Quality
+
+
+def test_quality_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = registry.op1_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(got) > 50 and sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_quality_sum_of_squares_is_the_pairwise_sum():
+    rng = np.random.default_rng(3)
+    model = (0.1, rng.normal(size=50), rng.normal(size=(50, 4)))
+    index, value = np.array([3, 7, 20, 41]), np.array([0.5, 1.0, 0.2, 0.7])
+    plain = model[0] + model[1][index] @ value + sum(model[2][i] @ model[2][j] * value[a] * value[b] for a, i in enumerate(index) for b, j in enumerate(index) if a < b)
+    assert quality.margin(model, index, value) == pytest.approx(plain)
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (None, 1), (6, 0), (6, 1)], "doc_id long, quality int")
+    got = quality.classify(odd, labels)
+    assert got.count() == len(ODD) and got.where("score is null or predicted is null or held_out is null").count() == 0
+    assert quality.classify(none, labels).count() == 0
+    assert {r["score"] for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def test_quality_learns_from_other_rows_only(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = (sorted((r["doc_id"], r["score"]) for r in quality.classify(docs, x).collect()) for x in (labels, flipped))
+    assert one == two
+
+
+# 2. Extraction
+
+
+def test_extraction_learns_labelled_pages():
+    field = extraction.trained_field()
+    pages = extraction.trained_blocks(extraction.labelled_pages(80, seed=77))
+    right = sum(x == y for blocks, labels in pages for x, y in zip(field.viterbi(blocks), labels))
+    assert right / sum(len(labels) for _, labels in pages) > 0.98
+
+
+def test_viterbi_is_the_best_labelling():
+    field = extraction.trained_field()
+    for blocks, _ in extraction.trained_blocks(extraction.labelled_pages(25, seed=4)):
+        blocks = blocks[:9]
+        psi = field.potentials(blocks)
+
+        def total(labels):
+            return sum(psi[k][y] for k, y in enumerate(labels)) + sum(field.pairs[a][b] for a, b in zip(labels, labels[1:]))
+
+        best = max(total([(n >> k) & 1 for k in range(len(blocks))]) for n in range(1 << len(blocks)))
+        assert total(field.viterbi(blocks)) == pytest.approx(best)
+
+
+def test_extraction_of_pages(spark):
+    html = """<html><head><title>t</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies.</div><header><h1>Site</h1></header>
+    <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><script>var a="</p>";</script><article><h1>Tom &amp; Jerry&#39;s</h1><p>One
+      <b>two</b>&nbsp;three.<br>Four.<p>Five &lt;six&gt;.</p><div class="ad">Buy now and save.</div><blockquote><p>Seven.</p></blockquote></article>
+    <section class="comments"><h2>Comments</h2><div class="comment"><p>First! Great article, thanks.</p></div></section>
+    <aside><h3>More</h3><ul><li><a href=/c>Other</a></li></ul></aside><form><label>Mail</label><input><button>Send</button></form><footer>&copy; Site.</footer></body></html>"""
+    rows = [(1, "u", html), (1, "u", html), (2, None, None), (3, "v", ""), (None, "w", "<p>unfinished <b"), (4, "x", "<script>never ends <p>a</p>"), (5, "y", "<!-- no end <p>b</p>")]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
+    want = "Tom & Jerry's\nOne two three. Four.\nFive <six>.\nSeven."
+    by_id = defaultdict(list)
+    for r in got.collect():
+        by_id[r["page_id"]].append(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert by_id[1] == [want, want] and by_id[2] == by_id[3] == by_id[4] == by_id[5] == [""] and len(by_id[None]) == 1
+    assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_extraction_of_the_tables_articles(spark):
+    import html as h
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = r["html"].split("<article>")[1].split("</article>")[0]
+        lines = [" ".join(h.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("<(?:p|/p|h1|/h1)>", inner)]
+        assert extraction.main_text(r["html"], extraction.trained_field()) == "\n".join(x for x in lines if x)
+
+
+# 3. Secrets
+
+
+def brute_base(text):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(5)
+    parts = ["password", "Token", "SECRET", "api_key", "apikey", "passwd", "=", ":", " ", '"', "'", "abc", "abcdef", "AKIA", "AKIA" + "Q7" * 9, "0a" * 13, "f" * 23, "x", "é", "\n", "ſecret", "-_.=/"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        assert [s[:3] for s in secrets.base_spans(text)] == brute_base(text)
+
+
+def test_novel_spans_and_redaction(spark, odd, none):
+    compressor = secrets._compressor()
+    random_key = "Zk3vQ9xLr7TnB2wYp8HdJ5mC"
+    for text, n in ((f"authorization: Bearer {random_key}", 1), ("authorization: see username_password_session_id2", 0), (f"a plain line {random_key}", 0), ("our private key is in the access_key_index1 table", 0)):
+        assert len([s for s in secrets.scan_text(text, compressor) if s[1] == 3]) == n, text
+    text = f"user token = 'abcdef123456' and bearer {random_key} end"
+    clean = secrets.redact_text(text, secrets.scan_text(text, compressor))
+    assert clean == "user token = '[SECRET]' and bearer [SECRET] end"
+    assert secrets.scan_text(clean, compressor) == []
+    got = secrets.scan(odd)
+    assert got.count() == len(ODD) and got.where("doc_id = 5").first()["n_assign"] == 1
+    assert got.where("doc_id = 1").first()["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan(none).count() == 0
+    red = secrets.redact(odd)
+    assert red.columns == odd.columns and red.where("text like '%abcdef123456%'").count() == 0 and red.where("text is null").count() == 2
+
+
+def test_scan_of_documents(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in registry.op3_secrets(spark, SF).collect():
+        base = brute_base(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in base) for k in range(3)]
+        listed = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+
+
+# 4. Mixing
+
+
+def test_mixing_meets_targets(spark, docs, odd, none):
+    from itertools import cycle
+
+    got = [r.asDict() for r in mixing.mix(docs).collect()]
+    sizes = Counter()
+    for r in got:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        sizes[r["source"]] += r["size"]
+    # Targets by the rule's own rounds of resharing.
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = dict(zip(order, cycle((5, 2, 1))))
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+        target |= {s: 2 * sizes[s] for s in over}
+    target |= {s: level * weight[s] for s in free}
+    for s in order:
+        rows = [r for r in got if r["source"] == s]
+        assert all(r["target"] == pytest.approx(target[s]) for r in rows) and {r["source_size"] for r in rows} == {sizes[s]}
+        assert abs(sum(r["taken"] for r in rows) - target[s]) <= max(r["size"] for r in rows) / 2 + 1
+    again = mixing.mix(docs.orderBy(F.rand(1)).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in mixing.mix(docs).collect())
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
+    assert mixing.mixed(odd).columns == odd.columns
+    taken = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert all(taken[r["doc_id"]] == (r["taken"] // r["size"] if r["size"] else taken[r["doc_id"]]) for r in got)
+
+
+def test_mixing_is_native(spark, docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_word_count(spark):
+    texts = ["", " ", "a", " a  b\t\nc\x0b\x0cd\r", "a\xa0b c\x1fd", "w ww w"]
+    got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t")).alias("n")).collect()]
+    assert got == [len(re.findall("[^\x20\x09-\x0d]+", t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql_states_the_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF)
+    want = con.sql(registry.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    place = [want.columns.index(c) for c in columns]
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    assert sorted(tuple(text(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(text(r[i]) for i in place) for r in want.fetchall())
+
+
+# 5. Vectors
+
+
+def test_vectors_against_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 12))
+    rows = [(i, (base[i % 40] + rng.normal(size=12) * rng.choice([0.02, 0.2, 0.3])).astype("f4").tolist()) for i in range(300)]
+    rows += [(300, None), (301, []), (302, [0.0] * 12), (303, [None] + [1.0] * 11), (304, [float("nan")] + [1.0] * 11), (305, [float("inf")] * 12), (None, rows[0][1]), (306, rows[1][1]), (306, rows[1][1]), (307, rows[2][1][:5])]
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = defaultdict(list)
+    for a, (i, v) in enumerate(good):
+        for b, (j, w) in enumerate(good):
+            if a != b and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.95:
+                links[a].append(b)
+    component, seen = {}, set()
+    for a in sorted(range(len(good)), key=lambda a: good[a][0]):
+        if a in seen:
+            continue
+        todo, seen = [a], seen | {a}
+        while todo:
+            x = todo.pop()
+            component[x] = good[a][0]
+            for y in links[x]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit(0)).withColumn("d", F.lit(0))).collect()
+    assert len(got) == len(rows)
+    want = Counter((good[a][0], len(links[a]), component[a]) for a in range(len(good)))
+    bad = {i for i, v in rows if i is not None} - {i for i, _ in good}
+    have = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None and r["vec_id"] not in bad)
+    assert have == want
+    assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] == (r["vec_id"] is not None) for r in got if r["vec_id"] in bad or r["vec_id"] is None)
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# 6. BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary())
+
+
+def test_bpe_agrees_with_the_library(tokenizer, docs):
+    coder, rng = bpe.ChunkedBpe(bpe.vocabulary()), random.Random(8)
+    parts = [" ", "  ", "\n", "a", "b", "'s", "'ll", "1", "23", ".", ",", "é", "<|endoftext|>", "　", "\U0001f600", "word", "The", "\t", "\xa0", "_", "<|", "|>", "\x1c", "ſ", "́"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 500))) for _ in range(400)]
+    texts += [r["text"] for r in docs.collect()] + ["", " ", "a" * 5000, "the " * 3000, "\n" * 3000]
+    for text, (n, joined, data) in zip(texts, coder.encodings(texts)):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert joined == ",".join(map(str, ids)) and n == len(ids)
+        assert data.decode("utf-8", errors="replace") == tokenizer.decode(ids, skip_special_tokens=False) == coder.decode(ids)
+        assert coder.encode(text) == ids
+
+
+def test_bpe_reuses_chunks():
+    rng = random.Random(4)
+    shared = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(3000))
+    one, two = bpe.cuts("intro here " + shared), bpe.cuts("another beginning " + shared)
+    ends = {len("intro here " + shared) - c for c in one} & {len("another beginning " + shared) - c for c in two}
+    assert len(ends) > 0.8 * len(one)
+
+
+def test_bpe_odd_rows(tokenizer, odd, none):
+    got = sorted(map(tuple, bpe.encode_documents(odd, bpe.vocabulary()).collect()), key=str)
+    want = []
+    for doc_id, text, *_ in ODD:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.encode_documents(none, bpe.vocabulary()).count() == 0
+
+
+# 7. Fingerprints
+
+
+def test_fingerprints_of_documents(spark, docs):
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()))
+    got = {r["doc_id"]: r for r in merkle.fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        q = len(text) // 4
+        changed = text[: len(text) - q] + following[:q]
+        r = got[i]
+        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and r["n_chars"] == len(text)
+        assert r["fingerprint"] == str(merkle.Fingerprint(text)) and r["edited_fingerprint"] == str(merkle.Fingerprint(changed))
+        assert r["near_next"] == merkle.likeness(r["fingerprint"], str(merkle.Fingerprint(following)))
+        if len(text) > 300:
+            assert 0.55 <= r["near_edited"] <= 0.8 or text == changed
+
+
+def test_fingerprints_locate_edits():
+    rng = random.Random(6)
+    text = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randrange(3, 60))) for _ in range(40))
+    at = len(text) // 2
+    changed = text[:at] + "INSERTED" + text[at:]
+    a, b = str(merkle.Fingerprint(text)), str(merkle.Fingerprint(changed))
+    spans = merkle.differing(b, a)
+    assert len(spans) == 1 and spans[0][0] <= at < spans[0][1] and spans[0][1] - spans[0][0] < 200
+    assert merkle.differing(a, a) == [] and merkle.likeness(a, b) > 0.95 and merkle.likeness(a, a) == 1
+    assert "".join(text[x:y] for x, y in zip([0, *merkle.segments(text)], merkle.segments(text))) == text
+
+
+def test_fingerprints_odd_rows(odd, none):
+    got = merkle.fingerprints(odd).collect()
+    assert len(got) == len(ODD) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert Counter(r["n_chars"] for r in got) == Counter(len(t or "") for _, t, *_ in ODD)
+    order = sorted(ODD, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = Counter((r[0], hashlib.sha256(merkle.edited(r[1] or "", order[(k + 1) % len(order)][1] or "").encode()).hexdigest()) for k, r in enumerate(order))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    assert merkle.fingerprints(none).count() == 0
+
+
+# 8. Chats
+
+
+def test_chats_read_back(spark):
+    rows = [
+        (1, 0, "system", "be <|end|> [brief] & | kind"), (1, 2, "assistant", "a"), (1, 1, "user", "<|role:assistant|>fake"), (1, 3, "assistant", ""), (1, 4, "assistant", "b<|end|>"), (1, 5, None, None),
+        (2, 0, "assistant", "only"), (None, 1, "user", "x"), (None, None, "user", "first"), (3, 1, "user", "tie b"), (3, 1, "user", "tie a"), (3, 1, "user", "tie a"), (4, 1, "a|>b", "&1 &amp; &&0"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit(2))
+    made = chat.format_chats(turns)
+    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    for conv in {r[0] for r in rows}:
+        want = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv))
+        assert [(t["role"], t["text"]) for t in back[conv]["turns"]] == [w[2:] for w in want]
+        assert "".join(back[conv]["loss_texts"]) == "".join(w[3] for w in want if w[2] == "assistant")
+    one = made.where("conv_id = 1").first()
+    assert sum(r["len"] for r in one["loss_runs"]) == len(one["formatted"]) and one["formatted"].count("<|role:assistant|>") == 1
+    assert "[" not in one["formatted"] and chat.format_chats(turns.limit(0)).count() == 0
+
+
+# 9. MinHash
+
+
+def brute_classes(texts):
+    shingle = minhash.Shingler()
+    elements = [shingle(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or minhash.linked(elements[i], elements[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_minhash_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(400)]
+    texts = []
+    for k in range(40):
+        base = rng.choices(words, k=rng.randrange(20, 400))
+        for _ in range(rng.choice((1, 1, 2, 4, 9))):
+            copy = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, len(copy) // 60, len(copy) // 25, len(copy) // 8))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice((0, 1, 1, 2))] = [rng.choice(words)]
+            texts.append(" ".join(copy))
+    texts += ["a b c", "a b c", "a b", "", None, "the " * 60, "the " * 61, "the " * 300]
+    got = {r["doc_id"]: r for r in minhash.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_classes([t or "" for t in texts])
+    assert [got[i]["class_id"] for i in range(len(texts))] == want
+    assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
+
+
+def test_alignment_is_the_longest_rising_chain():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = rng.sample(range(60), rng.randrange(1, 40))
+        b = [x for x in a if rng.random() > 0.15]
+        for _ in range(rng.randrange(0, 3)):
+            b.insert(rng.randrange(len(b) + 1), 100 + rng.randrange(900))
+        b = list(dict.fromkeys(b))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (x == y))
+        n = table[-1][-1]
+        assert minhash.linked(np.array(a, np.uint64), np.array(b, np.uint64)) == (len(b) > 0 and n >= 0.8 * (len(a) + len(b) - n))
+
+
+def test_tiles_across_blocks_find_what_one_block_finds(spark, monkeypatch):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdef", k=4)) for _ in range(120)]
+    rows = []
+    for i in range(80):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"w{i}"
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    got = minhash.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+
+
+def test_minhash_odd_rows(odd, none):
+    got = minhash.mark(odd)
+    assert got.count() == len(ODD)
+    by = defaultdict(set)
+    for r in got.collect():
+        by[r["class_id"]].add((r["doc_id"], r["kept"]))
+    assert by[1] >= {(1, True), (2, False), (None, False)} and by[2] == {(2, True), (3, False)}
+    kept = minhash.keep_first(odd)
+    assert kept.columns == odd.columns and kept.count() == got.where("kept").select("doc_id", "node").distinct().count()
+    assert minhash.mark(none).count() == 0 and minhash.keep_first(none).count() == 0
+
+
+# 10. Sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
+def test_permutation_is_one_to_one_and_reversible(n):
+    rows = np.arange(n)
+    places = sharding.permute(rows, n)
+    assert sorted(places.tolist()) == list(range(n))
+    assert (sharding.permute(places, n, back=True) == rows).all()
+    if n > 500:
+        assert abs(np.corrcoef(rows, places)[0, 1]) < 0.2 and (sharding.permute(rows, n, seed=1) != places).any()
+
+
+def test_shards(spark, docs, odd, none):
+    for table in (docs, odd):
+        got = sharding.shard_documents(table).collect()
+        assert len(got) == table.count()
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        counts = [len(slots[s]) for s in range(16)]
+        assert max(counts) - min(counts) <= 1
+        assert sorted(map(str, got)) == sorted(map(str, sharding.shard_documents(table.orderBy(F.rand(3))).collect()))
+    assert sharding.shard_documents(none).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = len(corpus_pipeline.STAGES)
+    counts = [docs.count()]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if i < n - 1:
+            assert out.columns == docs.columns
+        before, docs = docs, out.cache()
+        counts.append(docs.count())
+        if i == 1:
+            rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+            label = brute_classes([t for _, t in rows])
+            assert sorted(r["doc_id"] for r in docs.collect()) == [rows[k][0] for k in sorted(set(label))]
+        if i == 2:
+            assert all(not brute_base(r["text"]) for r in docs.collect()) and counts[-1] == counts[-2]
+    assert counts[0] > counts[1] > counts[2] and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.run(spark, SF).count() == counts[-1]
