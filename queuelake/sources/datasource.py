@@ -1,4 +1,8 @@
-"""``spark.read.format("queue_wal")``: WAL files as a table of entries, a partition a file, with pushed id and queue filters."""
+"""``spark.read.format("queue_wal")``: WAL files as a table of entries, a partition a file.
+
+The range is given by options, not by pushed filters: Spark keeps what was
+pushed with the relation, and a later, wider scan of the same data frame would miss rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class WalFile(InputPartition):
@@ -15,24 +19,8 @@ class WalFile(InputPartition):
 
 
 class WalReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root, self.queue, self.low, self.high = root, None, 0, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
-        """Takes queue equality and id bounds; what it can't use goes back to Spark."""
-        for f in filters:
-            column, value = getattr(f, "attribute", (None,)), getattr(f, "value", None)
-            if column == ("queue",) and isinstance(f, EqualTo):
-                self.queue = value
-            elif column == ("id",) and isinstance(f, EqualTo):
-                self.low, self.high = max(self.low, value), value if self.high is None else min(self.high, value)
-            elif column == ("id",) and isinstance(f, GreaterThanOrEqual | GreaterThan):
-                self.low = max(self.low, value + isinstance(f, GreaterThan))
-            elif column == ("id",) and isinstance(f, LessThanOrEqual | LessThan):
-                high = value - isinstance(f, LessThan)
-                self.high = high if self.high is None else min(self.high, high)
-            else:
-                yield f
+    def __init__(self, root: str, queue: str | None, low: int, high: int | None) -> None:
+        self.root, self.queue, self.low, self.high = root, queue, low, high
 
     def partitions(self) -> list[WalFile]:
         """The files, by listing; those that a later file's header shows to end before the range are left out."""
@@ -71,7 +59,7 @@ class WalReader(DataSourceReader):
 
 
 class WalDataSource(DataSource):
-    """Options: path, a folder that all executors see."""
+    """Options: path, a folder that all executors see; queue, start and end (ids, included) to read a part."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,9 +69,9 @@ class WalDataSource(DataSource):
         return "queue string, file_id long, id long, data binary"
 
     def reader(self, schema) -> WalReader:
-        return WalReader(self.options["path"].removeprefix("file:").rstrip("/"))
+        end = self.options.get("end")
+        return WalReader(self.options["path"].removeprefix("file:").rstrip("/"), self.options.get("queue"), int(self.options.get("start", "0")), None if end is None else int(end))
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WalDataSource)
