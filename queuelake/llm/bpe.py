@@ -34,8 +34,10 @@ WINDOW = 16
 CUT_BITS = 9
 LEAST_CHUNK = 64
 BOUNDARY = re.compile(r"(?<=[\w.,;:!?])(?= \w)")
-#: Entries kept in a task: pieces between neighbouring boundaries, and chunks. A full table is emptied; that costs time only.
-PIECES, CHUNKS = 400_000, 20_000
+#: Entries kept in a worker: pieces between neighbouring boundaries, in two generations, and chunks. What is pushed out is encoded again; that costs time only.
+PIECES, CHUNKS = 100_000, 6_000
+#: Texts that are cut and encoded together.
+TOGETHER = 250
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -80,9 +82,12 @@ class ChunkedBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        #: A piece's ids, and where decoding them gives other bytes than the piece's, these.
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.unequal: dict[str, bytes] = {}
         #: A chunk's first and last boundary and the encoding between them; None if it has less than two.
-        self.chunks: dict[str, tuple[int, int, tuple[int, str, bytes] | None]] = {}
+        self.chunks: dict[str, tuple[int, int, tuple[str, bytes] | None]] = {}
         self.token_bytes = self._token_bytes()
 
     def _token_bytes(self) -> dict[int, bytes]:
@@ -103,33 +108,39 @@ class ChunkedBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode, once, those of ``pieces`` (strings that stand between boundaries) that are new."""
-        known = self.pieces
-        wanted = set(pieces)
-        new = list(wanted.difference(known))
-        if len(known) + len(new) > PIECES:
-            kept = {p: known[p] for p in wanted if p in known}
-            known.clear()
-            known.update(kept)
+        """Encode, once, those of ``pieces`` (strings that stand between boundaries) that are new; decode each new encoding."""
+        if len(self.pieces) > PIECES:
+            self.older, self.pieces = self.pieces, {}
+        known, older = self.pieces, self.older
+        missing = set(pieces).difference(known)
+        new = list(missing.difference(older))
+        for p in missing.intersection(older):
+            known[p] = older[p]
         of = self.token_bytes
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             ids = e.ids
-            known[p] = (len(ids), ",".join(map(str, ids)), b"".join([of[i] for i in ids]))
+            known[p] = ",".join(map(str, ids))
+            data = b"".join([of[i] for i in ids])
+            if data != p.encode():
+                self.unequal[p] = data
 
-    @staticmethod
-    def _joined(parts: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
-        if not parts:
-            return 0, "", b""
-        counts, ids, data = zip(*parts)
-        return sum(counts), ",".join(filter(None, ids)), b"".join(data)
+    def _put_together(self, pieces: list[str]) -> tuple[str, bytes]:
+        ids = ",".join(filter(None, map(self.pieces.__getitem__, pieces)))
+        if not self.unequal:
+            return ids, "".join(pieces).encode()
+        return ids, b"".join([self.unequal.get(p, b"") if p in self.unequal else p.encode() for p in pieces])
 
     def encodings(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """The texts' encodings, in three steps: cut; encode new chunks and the joins between chunks; put together."""
+        """The texts' encodings."""
+        return [e for i in range(0, len(texts), TOGETHER) for e in self._encodings(texts[i : i + TOGETHER])]
+
+    def _encodings(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+        """In three steps: cut; encode new chunks and the joins between chunks; put together."""
+        if len(self.chunks) >= CHUNKS:
+            self.chunks.clear()
         chunks, pieces = self.chunks, []
-        if len(chunks) >= CHUNKS:
-            chunks.clear()
         # What a chunk holds until its middle is encoded: the pieces between its boundaries.
-        fresh: dict[str, list[str] | None] = {}
+        fresh: dict[str, list[str]] = {}
         plans = []
         for text in texts:
             plan: list[tuple[bool, str]] = []
@@ -142,7 +153,7 @@ class ChunkedBpe:
                     if len(parts) > 2:
                         fresh[chunk] = middle = parts[1:-1]
                         pieces += middle
-                        found = (len(parts[0]), len(chunk) - len(parts[-1]), True)
+                        found = (len(parts[0]), len(chunk) - len(parts[-1]), ("", b""))
                     else:
                         found = (0, 0, None)
                     chunks[chunk] = found
@@ -156,11 +167,15 @@ class ChunkedBpe:
             plans.append(plan)
             pieces += [s for is_chunk, s in plan if not is_chunk]
         self._learn(pieces)
-        known = self.pieces.__getitem__
         for chunk, middle in fresh.items():
             first, final, _ = chunks[chunk]
-            chunks[chunk] = (first, final, self._joined(list(map(known, middle))))
-        return [self._joined([chunks[s][2] if is_chunk else known(s) for is_chunk, s in plan]) for plan in plans]
+            chunks[chunk] = (first, final, self._put_together(middle))
+        out = []
+        for plan in plans:
+            parts = [chunks[s][2] if is_chunk else self._put_together([s]) for is_chunk, s in plan]
+            ids = ",".join([i for i, _ in parts if i])
+            out.append((ids.count(",") + 1 if ids else 0, ids, b"".join([d for _, d in parts])))
+        return out
 
     def encoding(self, text: str) -> tuple[int, str, bytes]:
         return self.encodings([text])[0]
@@ -172,7 +187,7 @@ def of_process(path: str) -> ChunkedBpe:
     import types
 
     held = sys.modules.setdefault("_queuelake_bpe", types.ModuleType("_queuelake_bpe"))
-    key = f"{path}:{hash(ChunkedBpe.encodings.__code__)}"
+    key = f"{path}:{hash(ChunkedBpe._encodings.__code__)}"
     if getattr(held, "key", None) != key:
         held.bpe, held.key = ChunkedBpe(path), key
     return held.bpe
