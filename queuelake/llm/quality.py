@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
     # At most ``rows`` pairs of numbers.
     wanted = spark.createDataFrame([(r["doc_id"], float(r["label"] >= 0.5)) for r in chosen], "doc_id long, label double")
     # One row for each id: repeated documents don't count more.
-    labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Featuriser()
