@@ -4,14 +4,22 @@ Shingles are five words; the t-th occurrence of a shingle in a text is an
 element of its own. A sketch takes the ORDER elements with the least hashes
 under one of SKETCHES hash functions and keeps them in text order, so that two
 texts share it only if they share these elements in the same order. Texts that
-share a sketch form a bucket; equal buckets count once. In every bucket all
-pairs are examined, in tiles of bounded size, one task a tile, without
-emitting them: common elements are counted as a matrix product, and what could
-reach the threshold is aligned. An alignment is a longest chain of common
-elements that rises in both texts, within the diagonal band that the threshold
-leaves; the similarity is its length over the number of elements in either
-text. Tiles emit a spanning forest of the links found, and components of
-these edges are the classes.
+share a sketch form a bucket; equal buckets count once. Pairs of a bucket are
+examined in tiles of one or two blocks of bounded size, without emitting them:
+common elements are counted as a matrix product, and what could reach the
+threshold is aligned. An alignment is a longest chain of common elements that
+rises in both texts, within the diagonal band that the threshold leaves; the
+similarity is its length over the number of elements in either text. Tiles
+emit a spanning forest of the links found, and components of these edges are
+the classes.
+
+Large buckets take two passes. The first compares every block with itself and
+with the bucket's first block, which is linear in the bucket's size and puts a
+group of copies into one component, however large it is. The second examines
+the pairs that are left where a bucket still has several components: members
+of a large component share blocks, and two blocks of the same component are
+not compared again. So only texts that share sketches without being
+near-duplicates cost time with the square of their bucket.
 """
 
 from __future__ import annotations
@@ -147,9 +155,10 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_edges(nodes: list[bytes], blocks: list[int], elements: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links in a tile: all pairs of one block, or the pairs across two."""
-    parent = list(range(len(nodes)))
+def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], elements: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links in a tile: all pairs of one block, or the pairs across two. Texts of one component (``known``) are joined from the start."""
+    first_of: dict[bytes, int] = {}
+    parent = [first_of.setdefault(c, i) for i, c in enumerate(known)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -182,10 +191,66 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__ql_node", F.unhex(F.md5(text_or_empty())))
 
 
+def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges (a, b) that the tiles (tile, node, block, known) find."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler()
+        tile, nodes, blocks, known, elements, found = None, [], [], [], [], []
+        for batch in batches:
+            for t, node, block, component, text in zip(batch["tile"], batch["node"], batch["block"], batch["known"], batch["text"]):
+                if t != tile:
+                    found += tile_edges(nodes, blocks, known, elements) if len(nodes) > 1 else []
+                    tile, nodes, blocks, known, elements = t, [], [], [], []
+                nodes.append(node)
+                blocks.append(block)
+                known.append(component)
+                elements.append(shingle(text))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        if len(nodes) > 1:
+            yield pd.DataFrame(tile_edges(nodes, blocks, known, elements), columns=["a", "b"])
+
+    needed = tiles.select("node").distinct()
+    small = needed.count() <= BROADCAST_DIGESTS
+    wanted = texts.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"])
+    rows = tiles.join(wanted, "node").repartition("tile").sortWithinPartitions("tile")
+    return save(rows.mapInPandas(compare, "a binary, b binary"))
+
+
+def _first_tiles(inside: DataFrame) -> DataFrame:
+    """Every block with itself and with its bucket's first one."""
+    blocked = inside.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    others = F.when(F.col("block") == 0, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(F.lit(0).cast("long"), F.col("block")))
+    placed = blocked.withColumn("other", F.explode(others))
+    return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "block", F.col("node").alias("known"))
+
+
+def _second_tiles(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """Of buckets with more than two blocks and several components: all pairs of blocks but those of one component."""
+    found = found.withColumnRenamed("node", "__n")
+    members = inside.where("blocks > 2").join(found, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("component", "node").alias("known"))
+    members = save(members)
+    mixed = members.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("key")
+    sizes = members.join(mixed, "key", "left_semi").groupBy("key", "known").agg(F.count("*").alias("c"))
+    # Components that fill a block have blocks of their own; the others share blocks.
+    sizes = sizes.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("known")).otherwise(F.lit(b"")))
+    totals = sizes.groupBy("key", "own").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks"))
+    sizes = sizes.join(totals, ["key", "own"]).select("key", "known", "own", "blocks")
+    placed = save(members.join(sizes, ["key", "known"]).withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("node"), "blocks"))))
+    blocks = placed.select("key", "own", "block").distinct()
+    other = blocks.select("key", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    # A row for each two blocks, not for texts.
+    pairs = blocks.join(other, "key").where("block <= block2 AND (own = X'' OR own <> own2)")
+    pairs = save(pairs.select("key", "block", "block2", F.xxhash64("key", "block", "block2").alias("tile")))
+    ends = pairs.select("key", "block", "tile").unionByName(pairs.select("key", F.col("block2").alias("block"), "tile")).distinct()
+    return placed.join(ends, ["key", "block"]).select("tile", "node", "block", "known")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, component) of the texts that have a near-duplicate of another text; node as by ``digested``."""
-    spark = session_of(docs)
-    small_batches(spark)
+    small_batches(session_of(docs))
     texts = digested(docs.select("text")).select(F.col("__ql_node").alias("node"), text_or_empty().alias("text"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,38 +259,18 @@ def classes(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"node": batch["node"], "keys": [sketches(shingle(t)) for t in batch["text"]]})
 
     sketched = save(texts.mapInPandas(sketch, "node binary, keys array<long>"))
-    members = sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    members = save(members)
+    members = save(sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("n > 1")
     # Buckets with the same members are one.
     buckets = save(buckets.groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n"))
     inside = save(members.join(buckets, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    needed = inside.select("node").distinct()
-    small = needed.count() <= BROADCAST_DIGESTS
-    wanted = texts.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), "blocks").alias("block")
-    others = inside.select("key", "node", "blocks", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tiles = others.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "block")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
-        tile, nodes, blocks, elements, found = None, [], [], [], []
-        for batch in batches:
-            for t, node, block, text in zip(batch["tile"], batch["node"], batch["block"], batch["text"]):
-                if t != tile:
-                    found += tile_edges(nodes, blocks, elements) if len(nodes) > 1 else []
-                    tile, nodes, blocks, elements = t, [], [], []
-                nodes.append(node)
-                blocks.append(block)
-                elements.append(shingle(text))
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found = []
-        if len(nodes) > 1:
-            yield pd.DataFrame(tile_edges(nodes, blocks, elements), columns=["a", "b"])
-
-    sorted_tiles = tiles.join(wanted, "node").repartition("tile").sortWithinPartitions("tile")
-    return components(save(sorted_tiles.mapInPandas(compare, "a binary, b binary")))
+    edges = _compared(_first_tiles(inside), texts)
+    found = save(components(edges))
+    if inside.where("blocks > 2").isEmpty():
+        return found
+    more = _compared(save(_second_tiles(inside, found)), texts)
+    # The second pass adds its edges to the stars of the first.
+    return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def mark(docs: DataFrame) -> DataFrame:

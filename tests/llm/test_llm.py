@@ -474,6 +474,28 @@ def test_tiles_across_blocks_find_what_one_block_finds(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_two_passes_over_large_buckets(spark, monkeypatch):
+    """A tight group, and texts that share much with it and are near each other alone."""
+    rng = random.Random(19)
+    base = ["".join(rng.choices("abcdef", k=4)) for _ in range(150)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"w{i}"
+        texts.append(" ".join(copy))
+    for i in range(20):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice((4, 5, 6, 9))):
+            copy[at] = f"x{i}at{at}"
+        texts.append(" ".join(copy))
+        if i % 2:
+            copy[rng.randrange(150)] = f"y{i}"
+            texts.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts) and len(set(got.values())) > 5
+
+
 def test_minhash_odd_rows(odd, none):
     got = minhash.mark(odd)
     assert got.count() == len(ODD)
