@@ -7,7 +7,7 @@ queue for each event type, ``conversations`` as many small queues, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queuelake.functions import naming, uintn
@@ -157,7 +157,8 @@ r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM a) SELECT id FRO
 def ordered_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the greatest value are lost on the way; what comes before the first gap is released."""
     events = _one_queue(spark, sf_dir)
-    arrivals = events.join(F.broadcast(events.agg(F.max("value").alias("__top"))), F.col("value") < F.col("__top")).select("id")
+    top = events.agg(F.max("value")).first()[0]
+    arrivals = events.where(F.col("value") < F.lit(top)).select("id")
     return append.ordered_release(arrivals, 0)
 
 
@@ -282,20 +283,24 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.retention_plan(index.select("queue", "file_id", "bytes"), 9000, latest)
 
 
+def _remote(index: DataFrame) -> DataFrame:
+    """The remote side has the files smaller than the average; the others are cropped there."""
+    mean = index.agg(F.avg("size")).first()[0]
+    size = F.col("size")
+    return index.select("queue", "file_id", F.when(size < F.lit(mean), size).otherwise(size - 1).alias("size"))
+
+
 @query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, bytes AS size FROM i WHERE bytes >= (SELECT avg(bytes) FROM i)")
 def offload_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The remote side has the files smaller than the average; the others are cropped there."""
     index = materialise(_index(spark, sf_dir).select("queue", "file_id", F.col("bytes").alias("size")))
-    mean = F.broadcast(index.agg(F.avg("size").alias("__mean")))
-    remote = index.crossJoin(mean).select("queue", "file_id", F.when(F.col("size") < F.col("__mean"), F.col("size")).otherwise(F.col("size") - 1).alias("size"))
+    remote = _remote(index)
     return tiers.offload_pending(index, remote)
 
 
 @query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, bytes AS size FROM i WHERE bytes < (SELECT avg(bytes) FROM i)")
 def offloaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialise(_index(spark, sf_dir).select("queue", "file_id", F.col("bytes").alias("size")))
-    mean = F.broadcast(index.agg(F.avg("size").alias("__mean")))
-    remote = index.crossJoin(mean).select("queue", "file_id", F.when(F.col("size") < F.col("__mean"), F.col("size")).otherwise(F.col("size") - 1).alias("size"))
+    remote = _remote(index)
     return tiers.offloaded(index, remote)
 
 
@@ -373,8 +378,6 @@ list_sort(list(value))[CAST(floor(count(*)*99/100) AS INT)+1] AS p99 FROM events
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest ranks from counts of distinct values: a running count over (type, value), not one list of all values."""
     events = _table(spark, sf_dir, "events")
-    from pyspark.sql import Window
-
     counts = events.where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("k"))
     totals = events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     running = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value")))

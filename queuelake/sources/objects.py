@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queuelake.model import InvalidRequest
+
 
 class ObjectStore:
     """A root path and its keys. Data frames of files are written by the executors; single calls run on the driver."""
@@ -71,11 +73,14 @@ class ObjectStore:
         return bool(self._fs(path).delete(path, True))
 
     def write_files(self, files: DataFrame) -> DataFrame:
-        """Write ``files`` (key, content) on the executors' side of a shared or mounted root, and return (key, size).
+        """Write ``files`` (key, content) from the executors under a root that all of them mount, and return (key, size).
 
         Each file is written beside its place and renamed, so that a task that is run again does no harm.
+        For roots that only Hadoop reaches, write tables, or single objects with ``put``.
         """
-        root = self.root.removeprefix("file:")
+        root = self.root.removeprefix("file://").removeprefix("file:")
+        if "://" in root:
+            raise InvalidRequest(f"executors can't write single files to {root}")
 
         def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import os

@@ -114,6 +114,11 @@ def read_files(spark: SparkSession, root: str, extension: str = "wal") -> DataFr
     return files.select(queue.alias("queue"), path_to_id(parts[1]).alias("file_id"), "path", "length", "content")
 
 
+def closed_files(files: DataFrame, current: int) -> DataFrame:
+    """The files before the one that is being written: what compaction may take."""
+    return files.where(F.col("file_id") < current)
+
+
 def decode(files: DataFrame) -> DataFrame:
     """(queue, file_id, id, data) of the valid prefixes of ``files`` (queue, file_id, content). Unreadable files give no rows."""
 

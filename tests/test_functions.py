@@ -132,6 +132,7 @@ def test_files_on_disk_and_the_data_source(spark, tmp_path):
     named = wal.encode(entries).withColumn("key", F.substring(naming.wal_path("", F.col("queue"), F.col("file_id")), 2, 1000))
     assert objects.write_files(named).count() == 4
     files = wal.read_files(spark, str(tmp_path / "root"))
+    assert sorted(r["file_id"] for r in wal.closed_files(files.where("queue = '/i/q'"), 3).collect()) == [1, 2]
     assert sorted((r["queue"], r["id"], bytes(r["data"])) for r in wal.decode(files).collect()) == sorted((q, i, bytes(d)) for q, _, i, d in rows)
     assert sorted(r["key"] for r in objects.files("wal").collect()) == ["i/other/wal/001.wal", "i/q/wal/001.wal", "i/q/wal/002.wal", "i/q/wal/003.wal"]
     datasource.register(spark)
