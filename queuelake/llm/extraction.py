@@ -34,7 +34,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>|.*)""", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[a-z]+")
-SEED, PAGES, EPOCHS, RATE, DECAY = 5, 360, 8, 0.3, 1e-3
+SEED, PAGES, EPOCHS, RATE, DECAY = 5, 600, 8, 0.3, 1e-3
 
 
 def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
@@ -221,8 +221,8 @@ def _log_add(a: float, b: float) -> float:
 AROUND = {
     "menu": "nav navigation navbar menu mainmenu topnav breadcrumb breadcrumbs tabs toc pagination pager".split(),
     "head": "header masthead top topbar logo brand banner tagline site title".split(),
-    "foot": "footer foot bottom copyright legal colophon imprint credits".split(),
-    "side": "sidebar side aside rail widget widgets related recommended trending popular more tags categories archive author bio".split(),
+    "foot": "footer foot bottom copyright legal colophon imprint credits contentinfo".split(),
+    "side": "sidebar side aside rail widget widgets related recommended trending popular more tags categories archive author bio complementary".split(),
     "notice": "notice cookie cookies consent gdpr alert warning popup modal overlay newsletter subscribe signup paywall message info toast".split(),
     "advert": "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion promoted banner commercial dfp".split(),
     "form": "form search login contact signup subscribe newsletter poll".split(),
@@ -244,8 +244,10 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
         return " ".join(words(rng.randrange(3, 16)).capitalize() + rng.choice("....!?") for _ in range(n))
 
     def named(tag: str, kinds: list[str], inner: str) -> str:
-        name = rng.choice(kinds) + rng.choice(("", "", "-box", "_wrap", "-1", " module"))
-        return f'<{tag} {rng.choice(("class", "class", "id"))}="{name}">{inner}</{tag}>'
+        # Pages also name parts of what isn't the article by words such as content or body: comment-body, sidebar-content.
+        mixed = kinds is not INSIDE and rng.random() < 0.25
+        name = rng.choice(kinds) + (f"-{rng.choice(INSIDE)}" if mixed else rng.choice(("", "", "-box", "_wrap", "-1", " module", "-container", "-section")))
+        return f'<{tag} {rng.choice(("class", "class", "id", "role" if len(name) < 9 else "id"))}="{name}">{inner}</{tag}>'
 
     def page() -> tuple[str, list[tuple[str, int]]]:
         said: list[tuple[str, int]] = []
@@ -296,7 +298,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
             inner = block(rng.choice(("p", "div", "div")), sentences(rng.randrange(1, 4)) if rng.random() < 0.7 else words(4), 0)
             if rng.random() < 0.5:  # text right inside the named element
                 inner = re.sub(r"^<\w+>|</\w+>$", "", inner)
-            return named(rng.choice(("div", "div", "section", "p" if "<" not in inner else "div")), kinds, inner)
+            return named(rng.choice(("div", "section", "div", "p", "p") if "<" not in inner else ("div", "div", "section")), kinds, inner)
 
         def _made_since(made: list[str]) -> int:
             return sum(x.count("<h4>") + x.count("<p>") for x in made)
@@ -339,6 +341,8 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
             main = f"<main><article>{inner}</article></main>"
         elif style < 0.92:
             main = named(rng.choice(("div", "section", "article")), INSIDE, inner)
+            if rng.random() < 0.3:
+                main = named("div", INSIDE, main)
         else:
             main = inner
         after = [around(k) for k in ("share", "comment", "side", "advert", "form", "menu", "notice", "foot") if rng.random() < 0.45]
