@@ -14,8 +14,8 @@ emit a spanning forest of the links found, and components of these edges are
 the classes.
 
 Large buckets take two passes. The first compares every block with itself and
-with the bucket's first block, which is linear in the bucket's size and puts a
-group of copies into one component, however large it is. The second examines
+with a few members of the bucket, its head, which is linear in the bucket's
+size and puts a group of copies into one component, however large it is. The second examines
 the pairs that are left where a bucket still has several components: members
 of a large component share blocks, and two blocks of the same component are
 not compared again. So only texts that share sketches without being
@@ -39,7 +39,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: At the threshold a sketch is shared with a chance of 0.8**5 = 0.33, one of 32 with a chance over 0.99999.
 ORDER, SKETCHES, SEED = 5, 32, 97
 #: Texts in a block; a tile holds one or two blocks.
-BLOCK = 256
+BLOCK, HEAD_PART = 256, 8
 COLUMNS = 8192
 #: Up to so many text digests (16 bytes each) are broadcast; beyond, texts are found by a shuffle join.
 BROADCAST_DIGESTS = 400_000
@@ -220,17 +220,17 @@ def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _first_tiles(inside: DataFrame) -> DataFrame:
-    """Every block with itself and with its bucket's first one."""
-    blocked = inside.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    others = F.when(F.col("block") == 0, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(F.lit(0).cast("long"), F.col("block")))
-    placed = blocked.withColumn("other", F.explode(others))
-    return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "block", F.col("node").alias("known"))
+    """Every block, with its bucket's head: about BLOCK / HEAD_PART members that join every tile of their bucket."""
+    block = F.pmod(F.xxhash64("node"), "blocks")
+    is_head = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks") * HEAD_PART) == 0)
+    placed = inside.withColumn("tile", F.explode(F.when(is_head, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(block))))
+    return placed.select(F.xxhash64("key", "tile").alias("tile"), "node", F.lit(0).cast("long").alias("block"), F.col("node").alias("known"))
 
 
 def _second_tiles(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """Of buckets with more than two blocks and several components: all pairs of blocks but those of one component."""
+    """Of buckets with more than one block and several components: all pairs of blocks but those of one component."""
     found = found.withColumnRenamed("node", "__n")
-    members = inside.where("blocks > 2").join(found, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("component", "node").alias("known"))
+    members = inside.where("blocks > 1").join(found, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("component", "node").alias("known"))
     members = save(members)
     mixed = members.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("key")
     sizes = members.join(mixed, "key", "left_semi").groupBy("key", "known").agg(F.count("*").alias("c"))
@@ -266,7 +266,7 @@ def classes(docs: DataFrame) -> DataFrame:
     inside = save(members.join(buckets, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     edges = _compared(_first_tiles(inside), texts)
     found = save(components(edges))
-    if inside.where("blocks > 2").isEmpty():
+    if inside.where("blocks > 1").isEmpty():
         return found
     more = _compared(save(_second_tiles(inside, found)), texts)
     # The second pass adds its edges to the stars of the first.
