@@ -140,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
     return fit([(r["label"], np.frombuffer(r["i"], "<i4").astype(int), np.frombuffer(r["x"], "<f4").astype(float)) for r in found])
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1). Null texts are scored as empty ones; a column of that name is replaced."""
+def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], name: str = "quality_score") -> DataFrame:
+    """``docs`` with ``name`` (0 to 1). Null texts are scored as empty ones; a column of that name is replaced."""
     spark = session_of(docs)
     small_batches(spark)
     # A fixed number of weights, whatever the input's size.
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
         for batch in texts:
             yield pd.Series([probability(weights, *make(t)) for t in batch], dtype=float)
 
-    return docs.withColumn("quality_score", of(text_or_empty()))
+    return docs.withColumn(name, of(text_or_empty()))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,5 +165,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    columns = docs.columns
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= KEEP).select(*columns)
+    return score(docs, train(docs, labels), "__ql_score").where(F.col("__ql_score") >= KEEP).select(*docs.columns)
