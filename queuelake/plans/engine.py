@@ -109,8 +109,25 @@ class Engine:
             out = out.unionByName(part)
         return out
 
+    def entries_of(self, queue: str) -> DataFrame:
+        """A queue's entries once, from the first tier that has their file.
+
+        Which files a tier answers for comes from the partition folders and is a literal list, so that copies in
+        lower tiers aren't opened and no payload is shuffled. The list has a number for each segment of one queue.
+        """
+        out, seen = None, set()
+        for tier, source in self._tiers():
+            mine = self.table(tier).where(F.col("queue") == queue)
+            files = {r[0] for r in mine.select("file_id").distinct().collect()}
+            if files & seen:
+                mine = mine.where(F.col("file_id").isin(sorted(files - seen)) if files - seen else F.lit(False))
+            seen |= files
+            part = mine.select("queue", "id", "data", F.lit(source).alias("source"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def entries(self) -> DataFrame:
-        """Every entry once, from the first tier that has its file."""
+        """Every entry of every queue once, from the first tier that has its file, by a join with the segment index."""
         chosen = tiers.cascade_files(self.index()).select("queue", "file_id", F.col("source").alias("__s"))
         parts = [self.table(t).withColumn("source", F.lit(s)) for t, s in self._tiers()]
         out = parts[0]
@@ -217,7 +234,7 @@ class Engine:
 
     def _all(self, queue: str) -> DataFrame:
         state = self._queues.get(queue)
-        disk = self.entries().where(F.col("queue") == queue)
+        disk = self.entries_of(queue)
         if state is None or not state.memory:
             return disk
         memory = self.spark.createDataFrame([(queue, i, bytearray(d), "MEMORY") for i, d in state.memory], READ)

@@ -72,6 +72,8 @@ def test_compaction_offload_retention(spark, engine, tmp_path):
     assert gone and gone[0][1] == 1
     got = engine.read("q", Absolute(0), 100)
     assert rows(got) == before and {r["source"] for r in got.collect()} == {"DISK_STORE", "CLOUD"}
+    every = engine.entries().where(F.col("queue") == engine.resolve("q"))
+    assert sorted((r["id"], r["source"]) for r in every.collect()) == sorted((r["id"], r["source"]) for r in got.collect())
     assert engine.write("q", [b"more"]).ids == [20]
     engine.truncate("q")
     assert engine.get_last_id("q") == 19
