@@ -34,8 +34,10 @@ WINDOW = 16
 CUT_BITS = 9
 LEAST_CHUNK = 64
 BOUNDARY = re.compile(r"(?<=[\w.,;:!?])(?= \w)")
+#: What stands between two of them.
+BETWEEN = re.compile(r" \w(?:.*[\w.,;:!?])?", re.DOTALL)
 #: Entries kept in a worker: pieces between neighbouring boundaries, in two generations, and chunks. What is pushed out is encoded again; that costs time only.
-PIECES, CHUNKS = 100_000, 6_000
+PIECES, CHUNKS = 150_000, 6_000
 #: Texts that are cut and encoded together.
 TOGETHER = 250
 
@@ -89,6 +91,9 @@ class ChunkedBpe:
         #: A chunk's first and last boundary and the encoding between them; None if it has less than two.
         self.chunks: dict[str, tuple[int, int, tuple[str, bytes] | None]] = {}
         self.token_bytes = self._token_bytes()
+        self.token_lengths = np.zeros(max(self.token_bytes) + 1, np.int64)
+        for i, data in self.token_bytes.items():
+            self.token_lengths[i] = len(data)
 
     def _token_bytes(self) -> dict[int, bytes]:
         """Each id's bytes: vocabulary strings spell bytes in the byte-level alphabet, added tokens are plain text."""
@@ -117,13 +122,36 @@ class ChunkedBpe:
         for p in missing.intersection(older):
             known[p] = older[p]
         of = self.token_bytes
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        rest = self._learn_row([p for p in new if BETWEEN.fullmatch(p)])
+        rest += [p for p in new if p not in known and not BETWEEN.fullmatch(p)]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             ids = e.ids
             known[p] = ",".join(map(str, ids))
             data = b"".join([of[i] for i in ids])
             if data != p.encode():
                 self.unequal[p] = data
 
+    def _learn_row(self, pieces: list[str]) -> list[str]:
+        """Encode pieces that begin and end at boundaries in a row, and part the ids where the pieces part.
+
+        Returns the pieces whose ends the tokens' ends don't meet or whose bytes don't come back: none, if boundaries are what they should be.
+        """
+        if not pieces:
+            return []
+        row = "".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.cumsum(self.token_lengths[ids])
+        wanted = np.cumsum([len(p.encode()) for p in pieces])
+        place = np.searchsorted(ends, wanted)
+        numbers = ids.tolist()
+        if place[-1] >= len(ends) or not (ends[place] == wanted).all() or b"".join([self.token_bytes[i] for i in numbers]) != row.encode():
+            return pieces
+        names, first = list(map(str, numbers)), 0
+        for p, last in zip(pieces, (place + 1).tolist()):
+            self.pieces[p] = ",".join(names[first:last])
+            first = last
+        return []
+
     def _put_together(self, pieces: list[str]) -> tuple[str, bytes]:
         ids = ",".join(filter(None, map(self.pieces.__getitem__, pieces)))
         if not self.unequal:
