@@ -556,3 +556,10 @@ def test_pipeline_stages(spark):
             assert all(not brute_base(r["text"]) for r in docs.collect()) and counts[-1] == counts[-2]
     assert counts[0] > counts[1] > counts[2] and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_pipeline_stages_on_odd_and_no_rows(spark, odd, none):
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd, SF)
+        assert out.count() <= 2 * len(ODD) and stage(spark, none, SF).count() == 0
+        assert i == len(corpus_pipeline.STAGES) - 1 or out.columns == odd.columns and set(map(str, out.select("size", "key").distinct().collect())) <= {"Row(size='clash', key=2)"}
