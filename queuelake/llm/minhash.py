@@ -61,7 +61,7 @@ class Shingler:
         self.powers = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def _word(self, word: str) -> int:
-        if len(self.known) > 150_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         found = self.known[word] = self.digest(word)
         return found

@@ -50,7 +50,7 @@ class Featuriser:
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, word: str) -> tuple[int, int]:
-        if len(self.known) > 150_000:
+        if len(self.known) > 80_000:
             self.known.clear()
         shape = _shape(word[:64])
         found = self.known[word] = (zlib.crc32(word.encode()) % BUCKETS, BUCKETS + zlib.crc32(shape.encode()) % SHAPES)
