@@ -1,15 +1,17 @@
-"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+"""Near-duplicate documents by MinHash, verified in their order by banded alignment.
 
 Shingles are five words; the t-th occurrence of a shingle in a text is an
 element of its own. A sketch takes the ORDER elements with the least hashes
-under one of SKETCHES hash functions and keeps them in text order, so that two
-texts share it only if they share these elements in the same order. Texts that
+under one of SKETCHES hash functions. Their order in the text is left to the
+alignment: where a text lacks an early occurrence, all later ones of that
+shingle stand elsewhere in the other text. Texts that
 share a sketch form a bucket; equal buckets count once. Pairs of a bucket are
 examined in tiles of one or two blocks of bounded size, without emitting them:
 common elements are counted as a matrix product, and what could reach the
-threshold is aligned. An alignment is a longest chain of common elements that
-rises in both texts, within the diagonal band that the threshold leaves; the
-similarity is its length over the number of elements in either text. Tiles
+threshold is aligned. An alignment is a longest common subsequence of the
+shingles themselves, whichever occurrence they are, within the diagonal band
+that the threshold leaves; the similarity is its length over the number of
+shingles in either text less that length. Tiles
 emit a spanning forest of the links found, and components of these edges are
 the classes.
 
@@ -25,6 +27,7 @@ near-duplicates cost time with the square of their bucket.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ WORDS, THRESHOLD = 5, 0.8
 ORDER, SKETCHES, SEED = 5, 32, 97
 #: Texts in a block; a tile holds one or two blocks.
 BLOCK, HEAD_PART = 256, 8
+#: Shingles of a text that are aligned before the band's window moves.
+ROWS = 1024
 COLUMNS = 8192
 #: Up to so many text digests (16 bytes each) are broadcast; beyond, texts are found by a shuffle join.
 BROADCAST_DIGESTS = 400_000
@@ -52,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to element hashes; words' hashes are kept within a task."""
+    """Texts to shingle hashes; words' hashes are kept within a task."""
 
     def __init__(self) -> None:
         import xxhash
@@ -67,7 +72,7 @@ class Shingler:
         return found
 
     def __call__(self, text: str) -> np.ndarray:
-        """One 64-bit hash for each shingle and occurrence, in text order; a text of fewer words is one shingle, an empty one has none."""
+        """One 64-bit hash for each shingle, in text order, equal for equal shingles; a text of fewer words is one shingle, an empty one has none."""
         get, make = self.known.get, self._word
         words = np.fromiter([get(w) or make(w) for w in text.split()], np.uint64)
         if not len(words):
@@ -77,30 +82,38 @@ class Shingler:
             shingles = np.zeros(n, np.uint64)
             for i in range(min(WORDS, len(words))):
                 shingles += words[i : i + n] * self.powers[i]
-            shingles = _mix(shingles)
-            order = np.argsort(shingles, kind="stable")
-            ranked = shingles[order]
-            new = np.ones(n, bool)
-            new[1:] = ranked[1:] != ranked[:-1]
-            if not new.all():
-                starts = np.flatnonzero(new)
-                occurrence = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-                shingles[order] = np.where(occurrence > 0, _mix(ranked + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ranked)
+            return _mix(shingles)
+
+
+def labelled(shingles: np.ndarray) -> np.ndarray:
+    """The elements: a shingle's first occurrence is its hash, each later one has a hash of its own."""
+    n = len(shingles)
+    order = np.argsort(shingles, kind="stable")
+    ranked = shingles[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    if new.all():
         return shingles
+    starts = np.flatnonzero(new)
+    occurrence = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    elements = np.empty(n, np.uint64)
+    with np.errstate(over="ignore"):
+        elements[order] = np.where(occurrence > 0, _mix(ranked + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ranked)
+    return elements
 
 
 def sketches(elements: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of ordered least elements; two texts without elements share all."""
+    """SKETCHES hashes of the sets of least elements; two texts without elements share all."""
     keys = _mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
     adds, factors = keys[:SKETCHES], keys[SKETCHES:] | np.uint64(1)
     out = adds.copy()
     with np.errstate(over="ignore"):
         if len(elements) <= ORDER:
-            chosen = np.broadcast_to(elements, (SKETCHES, len(elements)))
+            chosen = np.broadcast_to(np.sort(elements), (SKETCHES, len(elements)))
         else:
             hashed = (elements[None, :] ^ adds[:, None]) * factors[:, None]
-            places = np.sort(np.argpartition(hashed, ORDER - 1, axis=1)[:, :ORDER], axis=1)
-            chosen = elements[places]
+            places = np.argpartition(hashed, ORDER - 1, axis=1)[:, :ORDER]
+            chosen = np.sort(elements[places], axis=1)
         for i in range(chosen.shape[1]):
             out = _mix(out + chosen[:, i])
     return out.view(np.int64)
@@ -111,15 +124,10 @@ def least_common(n: int, m: int) -> int:
     return int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9))
 
 
-def alignment(a: np.ndarray, b: np.ndarray) -> int:
+def _chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The longest chain of common elements that rises in both, inside the band; elements are distinct within a text."""
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    need = least_common(len(a), len(b))
-    # A chain of ``need`` leaves at most this many elements beside it, so it stays this near to the diagonal.
-    band = max(len(a), len(b)) - need
     inside = np.abs(at_a - at_b) <= band
-    if inside.sum() < need:
-        return 0
     rising = at_b[inside][np.argsort(at_a[inside])].tolist()
     tails: list[int] = []
     for j in rising:
@@ -128,6 +136,71 @@ def alignment(a: np.ndarray, b: np.ndarray) -> int:
     return len(tails)
 
 
+def _subsequence(a: list[int], b: list[int], band: int) -> int:
+    """The longest common subsequence in the band, with a bit for each place of ``b``: a clear bit is a place where its length grows.
+
+    No place beyond the window has matched yet, and none before it matches again, so the window's bits are enough.
+    """
+    places: dict[int, list[int]] = defaultdict(list)
+    for j, x in enumerate(b):
+        places[x].append(j)
+    length = low = high = bits = 0
+    for at in range(0, len(a), ROWS):
+        passed = min(max(0, at - band), high) - low
+        if passed > 0:
+            length += passed - (bits & ((1 << passed) - 1)).bit_count()
+            bits >>= passed
+            low += passed
+        until = min(len(b), at + ROWS + band)
+        if until > high:
+            bits |= ((1 << (until - high)) - 1) << (high - low)
+            high = until
+        full = (1 << (high - low)) - 1
+        masks: dict[int, int] = {}
+        for x in a[at : at + ROWS]:
+            mine = places.get(x)
+            if mine is None:
+                continue
+            mask = masks.get(x)
+            if mask is None:
+                mask = 0
+                first, last = bisect_left(mine, low), bisect_left(mine, high)
+                if last - first > 8:
+                    set_bits = np.zeros(high - low, bool)
+                    set_bits[np.array(mine[first:last]) - low] = True
+                    mask = int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
+                else:
+                    for j in mine[first:last]:
+                        mask |= 1 << (j - low)
+                if last - first > 1:
+                    masks[x] = mask
+            matched = bits & mask
+            if matched:
+                bits = ((bits + matched) | (bits ^ matched)) & full
+    return length + high - low - bits.bit_count()
+
+
+def alignment(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest common subsequence of two texts' shingles, as far as it reaches the threshold; less than that may be less than it is."""
+    need = least_common(len(a), len(b))
+    # A chain of ``need`` leaves at most this many elements beside it, so it stays this near to the diagonal.
+    band = max(len(a), len(b)) - need
+    if band < 0 or min(len(a), len(b)) < need:
+        return 0
+    x, y = labelled(a), labelled(b)
+    n = _chain(x, y, band)
+    # Without repeated shingles the chain is the answer; else it is one common subsequence among others.
+    if n >= need or x is a and y is b:
+        return n
+    # What the texts begin and end with alike belongs to a longest common subsequence.
+    least = min(len(a), len(b))
+    differs = np.flatnonzero(a[:least] != b[:least])
+    head = int(differs[0]) if len(differs) else least
+    differs = np.flatnonzero(a[len(a) - least + head :][::-1] != b[len(b) - least + head :][::-1])
+    tail = int(differs[0]) if len(differs) else least - head
+    return head + tail + _subsequence(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist(), band)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two texts reach the threshold; texts without elements equal each other only."""
     if not len(a) or not len(b):
@@ -155,7 +228,7 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], elements: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], shingles: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links in a tile: all pairs of one block, or the pairs across two. Texts of one component (``known``) are joined from the start."""
     first_of: dict[bytes, int] = {}
     parent = [first_of.setdefault(c, i) for i, c in enumerate(known)]
@@ -171,6 +244,7 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], elemen
     two = [i for i, b in enumerate(blocks) if b != first]
     inside = not two
     two = two or one
+    elements = [labelled(t) for t in shingles]
     common = _common([elements[i] for i in one], [elements[i] for i in two])
     n, m = (np.array([len(elements[i]) for i in part], np.float64) for part in (one, two))
     could = common >= np.ceil(THRESHOLD / (1 + THRESHOLD) * (n[:, None] + m[None, :]) - 1e-9)
@@ -180,7 +254,7 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], elemen
             continue
         i, j = one[x], two[y]
         a, b = root(i), root(j)
-        if a != b and linked(elements[i], elements[j]):
+        if a != b and linked(shingles[i], shingles[j]):
             parent[a] = b
             edges.append((nodes[i], nodes[j]))
     return edges
@@ -196,21 +270,21 @@ def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
-        tile, nodes, blocks, known, elements, found = None, [], [], [], [], []
+        tile, nodes, blocks, known, shingles, found = None, [], [], [], [], []
         for batch in batches:
             for t, node, block, component, text in zip(batch["tile"], batch["node"], batch["block"], batch["known"], batch["text"]):
                 if t != tile:
-                    found += tile_edges(nodes, blocks, known, elements) if len(nodes) > 1 else []
-                    tile, nodes, blocks, known, elements = t, [], [], [], []
+                    found += tile_edges(nodes, blocks, known, shingles) if len(nodes) > 1 else []
+                    tile, nodes, blocks, known, shingles = t, [], [], [], []
                 nodes.append(node)
                 blocks.append(block)
                 known.append(component)
-                elements.append(shingle(text))
+                shingles.append(shingle(text))
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
         if len(nodes) > 1:
-            yield pd.DataFrame(tile_edges(nodes, blocks, known, elements), columns=["a", "b"])
+            yield pd.DataFrame(tile_edges(nodes, blocks, known, shingles), columns=["a", "b"])
 
     needed = tiles.select("node").distinct()
     small = needed.count() <= BROADCAST_DIGESTS
@@ -256,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "keys": [sketches(shingle(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "keys": [sketches(labelled(shingle(t))) for t in batch["text"]]})
 
     sketched = save(texts.mapInPandas(sketch, "node binary, keys array<long>"))
     members = save(sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")))

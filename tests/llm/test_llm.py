@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -461,6 +462,48 @@ def test_alignment_is_the_longest_rising_chain():
         assert minhash.linked(np.array(a, np.uint64), np.array(b, np.uint64)) == (len(b) > 0 and n >= 0.8 * (len(a) + len(b) - n))
 
 
+def plain_linked(a, b):
+    """By the whole table over five-word shingles as strings."""
+    a, b = ([" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (a.split(), b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1] >= 0.8 * (len(a) + len(b) - row[-1])
+
+
+def test_repeated_passages_align_whichever_occurrence_is_missing(spark):
+    rng = random.Random(31)
+    shingle, texts = minhash.Shingler(), []
+    for fixed, own in ((8, 20), (8, 30), (10, 10)):
+        opening = " ".join(f"o{fixed}{own}x{i}" for i in range(fixed))
+        lines = [opening + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(own)) for _ in range(40)]
+        texts += [" ".join(lines), " ".join(lines[1:])]
+        assert plain_linked(*texts[-2:]) and minhash.linked(shingle(texts[-2]), shingle(texts[-1]))
+    got = [r["class_id"] for r in minhash.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [0, 0, 2, 2, 4, 4]
+
+
+def test_linked_against_a_plain_common_subsequence(monkeypatch):
+    rng, shingle, seen = random.Random(32), minhash.Shingler(), Counter()
+    monkeypatch.setattr(minhash, "ROWS", 7)
+    for _ in range(600):
+        passages = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 12))) for _ in range(4)]
+        a = [rng.choice(passages) if rng.random() < 0.6 else f"u{rng.randrange(99)}" for _ in range(rng.randrange(1, 30))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(0, 3)] = rng.choice(([], [rng.choice(passages)], ["v"]))
+        a, b = " ".join(a), " ".join(b) or "x"
+        want = plain_linked(a, b)
+        seen[want] += 1
+        assert minhash.linked(shingle(a), shingle(b)) == want, (a, b)
+    assert min(seen.values()) > 100
+    start = time.time()
+    assert minhash.linked(shingle("the " * 30000), shingle("x the y " * 5 + "the " * 30000)) and time.time() - start < 30
+
+
 def test_tiles_across_blocks_find_what_one_block_finds(spark, monkeypatch):
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdef", k=4)) for _ in range(120)]
