@@ -29,7 +29,10 @@ LEAST_VALUE = 6
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "api", "credential", "auth", "bearer", "private", "access", "signature", "session")
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[_-]?key|credential|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|signature|session[_-]?id", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~.-])[A-Za-z0-9+/_=~.-]{16,}", re.ASCII)
+#: A run may begin after "=", which stands at its end only, as padding.
+RUN = re.compile(r"[A-Za-z0-9+/_~.-]{16,}(?:={1,2}(?![A-Za-z0-9+/_~.-]))?", re.ASCII)
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_~.-]){RUN.pattern}", re.ASCII)
+JOINTS = re.compile(r"[_.~-]*")
 #: How far after a sensitive word a candidate may begin, and how much text stands around it in the frame.
 REACH, AROUND = 60, 256
 #: Bytes a character from which a candidate is novel. Random base64 costs about 0.9, identifiers below 0.6.
@@ -71,6 +74,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
+def candidates(text: str, start: int, done: int, end: int) -> Iterator[re.Match]:
+    """The runs after a sensitive word that ends at ``start``, from ``done`` on: what follows in the word's own run, then whole runs."""
+    at = max(start, done)
+    if at == start and (m := RUN.match(text, JOINTS.match(text, at).end(), end)):
+        yield m
+        at = m.end()
+    yield from CANDIDATE.finditer(text, at, end)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) -> list[tuple[int, int, int, int]]:
     """Incompressible strings in a sensitive context that no base span touches."""
     low = text.lower()
@@ -80,7 +92,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
     for word in SENSITIVE.finditer(text):
         line_end = text.find("\n", word.end())
         line_end = len(text) if line_end < 0 else line_end
-        for m in CANDIDATE.finditer(text, max(done, word.end()), line_end):
+        for m in candidates(text, word.end(), done, line_end):
             if m.start() > word.end() + REACH:
                 break
             done = m.end()

@@ -204,6 +204,20 @@ def test_novel_spans_and_redaction(spark, odd, none):
     assert red.columns == odd.columns and red.where("text like '%abcdef123456%'").count() == 0 and red.where("text is null").count() == 2
 
 
+def novel_of(text):
+    return [text[s:e] for s, k, e, _ in secrets.scan_text(text, secrets._compressor()) if k == 3]
+
+
+def test_novel_values_right_after_a_name():
+    key = "9fX2kQz81LmNvB37TyUiOp"
+    for name in ("private_key", "AUTH_KEY", "passphrase", "access_key", "session_id", "credential", "https://example.com/file?signature", "authorization_of_the_service"):
+        assert novel_of(f"{name}={key}") == [key], name
+        assert novel_of(f"export {name}={key}==\nnext line") == [f"{key}=="], name
+        assert secrets.redact_text(f"{name}={key}&x=1", secrets.scan_text(f"{name}={key}&x=1", secrets._compressor())) == f"{name}=[SECRET]&x=1"
+    assert novel_of(f"use bearer_{key} here") == [key]
+    assert novel_of("private_key=the_private_key_path_of_user1 and session_id=username_password_index2") == []
+
+
 def test_scan_of_documents(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in registry.op3_secrets(spark, SF).collect():
