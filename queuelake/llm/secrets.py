@@ -3,7 +3,8 @@
 A candidate is a long run of key-like characters, with letters and digits, on
 the same line as, and shortly after, a sensitive word. Its novelty is its
 marginal cost: the bytes by which a zstandard frame of the surrounding text
-grows when the candidate is added, for each of its characters. The compressor
+grows when the candidate is added, for each of its characters. Its other
+occurrences are taken out of that text, and all get the same verdict. The compressor
 is primed with a dictionary of identifiers and common words, so that names,
 paths and prose cost little where a random string costs nearly a byte a character.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +40,7 @@ JOINTS = re.compile(r"[_.~-]*")
 REACH, AROUND = 60, 256
 #: Bytes a character from which a candidate is novel. Random base64 costs about 0.9, identifiers below 0.6.
 NOVEL = 0.7
+LEAST_CORE = 8
 IDENTIFIERS = (
     "import from return class function def self this public private protected static const let var null None true false "
     "string number integer boolean object array list value index length count name type size data item node next previous parent child "
@@ -55,10 +59,26 @@ def _compressor():
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
+def core_of(found: str) -> str:
+    """A candidate without the marks at its ends, by which its occurrences are known."""
+    core = found.strip("+/_=~.-")
+    return core if len(core) >= LEAST_CORE else found
+
+
+def _around(text: str, start: int, end: int) -> str:
+    """AROUND characters on both sides, without other occurrences of text[start:end], whole ones or such as the cut would part."""
+    core = core_of(text[start:end])
+    reach, edge = 2 * AROUND + 4 * len(core), len(core) - 1
+    left, right = text[max(0, start - reach) : start].replace(core, "\n"), text[end : end + reach].replace(core, "\n")
+    left = left[edge:] if start > reach else left
+    right = right[: max(0, len(right) - edge)] if end + reach < len(text) else right
+    return left[-AROUND:] + "\n" + right[:AROUND]
+
+
 def novelty(text: str, start: int, end: int, compressor) -> float:
     """The marginal compressed bytes of text[start:end] for each of its bytes."""
     found = text[start:end].encode()
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
+    around = _around(text, start, end).encode()
     return (len(compressor.compress(around + found)) - len(compressor.compress(around))) / len(found)
 
 
@@ -84,11 +104,11 @@ def candidates(text: str, start: int, done: int, end: int) -> Iterator[re.Match]
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) -> list[tuple[int, int, int, int]]:
-    """Incompressible strings in a sensitive context that no base span touches."""
+    """Incompressible strings that stand in a sensitive context, wherever they occur, where no base span touches them."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    spans, done = [], 0
+    done, verdicts, spans = 0, {}, {}
     for word in SENSITIVE.finditer(text):
         line_end = text.find("\n", word.end())
         line_end = len(text) if line_end < 0 else line_end
@@ -98,11 +118,28 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
             done = m.end()
             if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
                 continue
-            if any(s < m.end() and m.start() < e for s, _, e, _ in base):
-                continue
-            if novelty(text, m.start(), m.end(), compressor) >= NOVEL:
-                spans.append((m.start(), 3, m.end(), m.start()))
-    return spans
+            core = core_of(m[0])
+            if core not in verdicts:
+                verdicts[core] = novelty(text, m.start(), m.end(), compressor) >= NOVEL
+            if verdicts[core]:
+                spans[m.start()] = m.end()
+    for core in [c for c, novel in verdicts.items() if novel]:
+        at = text.find(core)
+        while at >= 0:
+            spans[at] = max(at + len(core), spans.get(at, 0))
+            at = text.find(core, at + len(core))
+    starts, ends = [s for s, *_ in base], list(accumulate((e for _, _, e, _ in base), max))
+    out, until = [], 0
+    for start, end in sorted(spans.items()):
+        before = bisect_left(starts, end)
+        if before and ends[before - 1] > start:
+            continue
+        if start < until:  # occurrences that overlap are one span
+            out[-1] = (out[-1][0], 3, max(until, end), out[-1][0])
+        else:
+            out.append((start, 3, end, start))
+        until = max(until, end)
+    return out
 
 
 def scan_text(text: str, compressor) -> list[tuple[int, int, int, int]]:

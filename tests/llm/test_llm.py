@@ -218,6 +218,25 @@ def test_novel_values_right_after_a_name():
     assert novel_of("private_key=the_private_key_path_of_user1 and session_id=username_password_index2") == []
 
 
+def test_novel_values_that_stand_twice():
+    rng, compressor = random.Random(33), secrets._compressor()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for k in range(100):
+        key = "a1" + "".join(rng.choices(alphabet, k=rng.randrange(18, 62)))
+        gap = (" and then the same call is made once more" * 9)[: rng.randrange(50, 300)]
+        text = f"authorization: Bearer {key}\n{gap}\nauthorization: Bearer {key}\n" * rng.choice((1, 2, 5))
+        at = [m.start() for m in re.finditer(key, text)]
+        assert [s for s, kind, e, _ in secrets.scan_text(text, compressor) if kind == 3 and e == s + len(key)] == at
+        assert key not in secrets.redact_text(text, secrets.scan_text(text, compressor))
+    key = "9fX2kQz81LmNvB37TyUiOp"
+    # A copy at a sentence's end, one inside a longer run, one without a sensitive word.
+    text = f"The bearer is {key}. Then see\n\n\n path {key}/more and\n {'plain words ' * 9}\n{key}"
+    assert key not in secrets.redact_text(text, secrets.scan_text(text, compressor))
+    # A base span keeps its bounds.
+    text = f"passphrase={key} and token={key}"
+    assert [s[1] for s in secrets.scan_text(text, compressor)] == [3, 0]
+
+
 def test_scan_of_documents(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in registry.op3_secrets(spark, SF).collect():
