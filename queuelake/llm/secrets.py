@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that zstandard finds novel in a sensitive context.
 
-A candidate is a long run of key-like characters, with letters and digits, on
-the same line as, and shortly after, a sensitive word. Its novelty is its
+A candidate is a long run of key-like characters, with letters and digits,
+shortly after a sensitive word, on its line or beyond, or on the line after a
+novel string. The text between the marks of a private key is one candidate. Its novelty is its
 marginal cost: the bytes by which a zstandard frame of the surrounding text
 grows when the candidate is added, for each of its characters. Its other
 occurrences are taken out of that text, and all get the same verdict. The compressor
@@ -31,16 +32,24 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "api", "credential", "auth", "bearer", "private", "access", "signature", "session")
-SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[_-]?key|credential|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|signature|session[_-]?id", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[\x20_-]?key|credential|auth(?:orization)?|bearer|private[\x20_-]?key|access[\x20_-]?key|signature|session[\x20_-]?id", re.IGNORECASE | re.ASCII)
 #: A run may begin after "=", which stands at its end only, as padding.
 RUN = re.compile(r"[A-Za-z0-9+/_~.-]{16,}(?:={1,2}(?![A-Za-z0-9+/_~.-]))?", re.ASCII)
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_~.-]){RUN.pattern}", re.ASCII)
 JOINTS = re.compile(r"[_.~-]*")
-#: How far after a sensitive word a candidate may begin, and how much text stands around it in the frame.
+#: Where a value goes on after a line's end: quotes, commas, signs of continuation, and marks of comments.
+NEXT_LINE = re.compile(r"""["'\\+,\x20\t\r]*+\n\s*+["'#>|*\x20]*+""")
+#: The marks around a private key, and what stands in one whose end is missing.
+PEM_BEGIN = re.compile(r"-{4,5}\x20?BEGIN [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?\x20?-{4,5}")
+PEM_END = re.compile(r"-{4,5}\x20?END ")
+PEM_REST = re.compile(r"""(?:[A-Za-z0-9+/=\\"',]|\s)*+""", re.ASCII)
+PEM_EDGES = " \t\r\n\\\"',"
+#: How far after a sensitive word a candidate may begin (white space counts as one character), and how much text stands around it in the frame.
 REACH, AROUND = 60, 256
+REACHED = re.compile(rf"(?:\s++|\S){{0,{REACH}}}+")
 #: Bytes a character from which a candidate is novel. Random base64 costs about 0.9, identifiers below 0.6.
 NOVEL = 0.7
-LEAST_CORE = 8
+LEAST_CORE, LEAST_RUN = 8, 16
 IDENTIFIERS = (
     "import from return class function def self this public private protected static const let var null None true false "
     "string number integer boolean object array list value index length count name type size data item node next previous parent child "
@@ -94,13 +103,34 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
-def candidates(text: str, start: int, done: int, end: int) -> Iterator[re.Match]:
-    """The runs after a sensitive word that ends at ``start``, from ``done`` on: what follows in the word's own run, then whole runs."""
+def candidates(text: str, start: int, done: int) -> Iterator[re.Match]:
+    """The runs within reach of a sensitive word that ends at ``start``, from ``done`` on: what follows in the word's own run, then whole runs."""
     at = max(start, done)
-    if at == start and (m := RUN.match(text, JOINTS.match(text, at).end(), end)):
+    if at == start and (m := RUN.match(text, JOINTS.match(text, at).end())):
+        yield m
+        at = m.end()
+    end = min(len(text), REACHED.match(text, start).end() + LEAST_RUN)
+    while m := CANDIDATE.search(text, at, end):
+        m = RUN.match(text, m.start())
         yield m
         at = m.end()
-    yield from CANDIDATE.finditer(text, at, end)
+
+
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """Where the text between the marks of private keys stands; without an end mark, as far as it looks like one."""
+    out = []
+    begins = list(PEM_BEGIN.finditer(text)) if "PRIVATE KEY" in text else []
+    for m, following in zip(begins, [*(b.start() for b in begins[1:]), len(text)]):
+        end = PEM_END.search(text, m.end(), following)
+        stop = end.start() if end else PEM_REST.match(text, m.end(), following).end()
+        start = m.end()
+        while start < stop and text[start] in PEM_EDGES or text.startswith(("\\n", "\\r"), start, stop):
+            start += 2 if text[start] == "\\" and text[start + 1 : start + 2] in ("n", "r") else 1
+        while start < stop and text[stop - 1] in PEM_EDGES or text.endswith(("\\n", "\\r"), start, stop):
+            stop -= 2 if text.endswith(("\\n", "\\r"), start, stop) else 1
+        if start < stop:
+            out.append((start, stop))
+    return out
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) -> list[tuple[int, int, int, int]]:
@@ -109,20 +139,44 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     done, verdicts, spans = 0, {}, {}
+
+    def measured(start: int, end: int) -> bool:
+        found = text[start:end]
+        if not (re.search("[0-9]", found) and re.search("[A-Za-z]", found)):
+            return False
+        core = core_of(found)
+        if core not in verdicts:
+            verdicts[core] = novelty(text, start, end, compressor) >= NOVEL
+        if verdicts[core]:
+            spans[start] = max(end, spans.get(start, 0))
+        return verdicts[core]
+
+    key_starts, key_ends = [], []
+    for start, end in private_keys(text):
+        runs = sum(m.end() - m.start() for m in RUN.finditer(text, start, end))
+        if 2 * runs < end - start or novelty(text, start, end, compressor) < NOVEL:
+            for m in CANDIDATE.finditer(text, start, end):
+                measured(m.start(), m.end())
+            continue
+        key_starts.append(start)
+        key_ends.append(end)
+        # Base spans inside part it.
+        for s, _, e, _ in base:
+            if start < e and s < end:
+                if s > start:
+                    spans[start] = s
+                start = max(start, e)
+        if start < end:
+            spans[start] = end
     for word in SENSITIVE.finditer(text):
-        line_end = text.find("\n", word.end())
-        line_end = len(text) if line_end < 0 else line_end
-        for m in candidates(text, word.end(), done, line_end):
-            if m.start() > word.end() + REACH:
-                break
-            done = m.end()
-            if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+        for m in candidates(text, word.end(), done):
+            done = max(done, m.end())
+            k = bisect_left(key_starts, m.end())
+            if k and key_ends[k - 1] > m.start():
                 continue
-            core = core_of(m[0])
-            if core not in verdicts:
-                verdicts[core] = novelty(text, m.start(), m.end(), compressor) >= NOVEL
-            if verdicts[core]:
-                spans[m.start()] = m.end()
+            while m and measured(m.start(), m.end()):
+                m = (following := NEXT_LINE.match(text, m.end())) and RUN.match(text, following.end())
+                done = max(done, m.end() if m else 0)
     for core in [c for c, novel in verdicts.items() if novel]:
         at = text.find(core)
         while at >= 0:
