@@ -4,8 +4,9 @@ Shingles are five words; the t-th occurrence of a shingle in a text is an
 element of its own. A sketch takes the ORDER elements with the least hashes
 under one of SKETCHES hash functions. Their order in the text is left to the
 alignment: where a text lacks an early occurrence, all later ones of that
-shingle stand elsewhere in the other text. Texts that
-share a sketch form a bucket; equal buckets count once. Pairs of a bucket are
+shingle stand elsewhere in the other text. Short texts have keys that no
+near-duplicate can miss (``prefixes``). Texts that
+share a sketch or a key form a bucket; equal buckets count once. Pairs of a bucket are
 examined in tiles of one or two blocks of bounded size, without emitting them:
 common elements are counted as a matrix product, and what could reach the
 threshold is aligned. An alignment is a longest common subsequence of the
@@ -29,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,8 @@ from queuelake.llm.graph import components
 WORDS, THRESHOLD = 5, 0.8
 #: At the threshold a sketch is shared with a chance of 0.8**5 = 0.33, one of 32 with a chance over 0.99999.
 ORDER, SKETCHES, SEED = 5, 32, 97
+#: Texts of more elements have sketches; a near-duplicate of any other has at most 1 / THRESHOLD times as many. Elements in a key of the exact way.
+SHORT, TOGETHER = 16, 3
 #: Texts in a block; a tile holds one or two blocks.
 BLOCK, HEAD_PART = 256, 8
 #: Shingles of a text that are aligned before the band's window moves.
@@ -108,7 +112,7 @@ def sketches(elements: np.ndarray) -> np.ndarray:
     adds, factors = keys[:SKETCHES], keys[SKETCHES:] | np.uint64(1)
     out = adds.copy()
     with np.errstate(over="ignore"):
-        if len(elements) <= ORDER:
+        if len(elements) <= ORDER:  # no text of so few elements but the empty one has sketches
             chosen = np.broadcast_to(np.sort(elements), (SKETCHES, len(elements)))
         else:
             hashed = (elements[None, :] ^ adds[:, None]) * factors[:, None]
@@ -119,6 +123,31 @@ def sketches(elements: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def prefixes(elements: np.ndarray) -> np.ndarray:
+    """Keys of a short text, of which it shares at least one with every text that reaches the threshold.
+
+    Such a text has at least o = THRESHOLD * n of the n elements. Of the common ones, the k least in any fixed
+    order are among the n - o + k least of either text, and so every k of these make a key.
+    """
+    n = len(elements)
+    k = min(TOGETHER, n)
+    least = np.sort(_mix(elements ^ np.uint64(SEED)))[: n - int(np.ceil(THRESHOLD * n - 1e-9)) + k]
+    chosen = np.array(list(combinations(least, k)), np.uint64)
+    out = np.full(len(chosen), SEED + SKETCHES, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out = _mix(out + chosen[:, i])
+    return out.view(np.int64)
+
+
+def keys_of(elements: np.ndarray) -> np.ndarray:
+    """The keys of a text's buckets; of two near-duplicates, both have prefixes or both have sketches."""
+    n = len(elements)
+    parts = [prefixes(elements)] if 0 < n <= SHORT / THRESHOLD else []
+    parts += [sketches(elements)] if n > SHORT or n == 0 else []
+    return np.concatenate(parts)
+
+
 def least_common(n: int, m: int) -> int:
     """The least number of common elements with which texts of n and m elements reach the threshold."""
     return int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9))
@@ -330,7 +359,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "keys": [sketches(labelled(shingle(t))) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "keys": [keys_of(labelled(shingle(t))) for t in batch["text"]]})
 
     sketched = save(texts.mapInPandas(sketch, "node binary, keys array<long>"))
     members = save(sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")))

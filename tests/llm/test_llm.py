@@ -557,6 +557,32 @@ def test_linked_against_a_plain_common_subsequence(monkeypatch):
     assert minhash.linked(shingle("the " * 30000), shingle("x the y " * 5 + "the " * 30000)) and time.time() - start < 30
 
 
+def test_short_near_duplicates_always_share_a_key(spark):
+    rng, shingle = random.Random(35), minhash.Shingler()
+
+    def keys(text):
+        return set(minhash.keys_of(minhash.labelled(shingle(text))).tolist())
+
+    near = 0
+    for k in range(6000):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 32))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 6)):
+            if rng.random() < 0.5:
+                b = b[1:] if rng.random() < 0.5 else b[:-1]
+            else:
+                b = [*b, f"v{k}"] if rng.random() < 0.5 else [f"v{k}", *b]
+        a, b = " ".join(a), " ".join(b)
+        if b and minhash.linked(shingle(a), shingle(b)):
+            near += 1
+            assert min(len(shingle(a)), len(shingle(b))) > minhash.SHORT or keys(a) & keys(b), (a, b)
+    assert near > 2000
+    # 4 and 5 shingles with 4 in common: exactly 0.8.
+    texts = [x for k in range(30) for x in (" ".join(f"t{k}w{i}" for i in range(8)), " ".join(f"t{k}w{i}" for i in range(9)))]
+    got = [r["class_id"] for r in minhash.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [k - k % 2 for k in range(60)]
+
+
 def test_tiles_across_blocks_find_what_one_block_finds(spark, monkeypatch):
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdef", k=4)) for _ in range(120)]
