@@ -27,6 +27,8 @@ from queuelake.plans.settings import Settings
 from queuelake.streaming.follow import Callback, Subscription, follow
 
 ROWS = T.StructType([T.StructField("queue", T.StringType()), T.StructField("file_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("length", T.LongType())])
+#: Partition columns last, where Spark puts them once a table that was empty has files.
+STREAM = T.StructType([ROWS[c] for c in ("id", "data", "length", "queue", "file_id")])
 READ = "queue string, id long, data binary, source string"
 
 
@@ -255,11 +257,16 @@ class Engine:
         return self.read(queue, ShiftFromTail(offset), limit, step)
 
     def follow(self, queue: str, callback: Callback, position: Position = ShiftFromTail(0), step: int = 1, **options) -> Subscription:
-        """Replay from ``position``, then deliver what is appended, until ``callback`` returns False."""
+        """Replay from ``position``, then deliver what is appended, until ``callback`` returns False.
+
+        History and the last id come from all tiers and memory; what is appended comes through the WAL.
+        """
         queue = self.resolve(queue)
         if not self.exists(queue):
             raise QueueNotFound(queue)
-        subscription = follow(self.spark, self.path("wal"), queue, position, callback, step, **options)
+        target, fs = self._path_object(self.path("wal"))
+        fs.mkdirs(target)
+        subscription = follow(self.spark, self.path("wal"), queue, position, callback, step, entries=self._all(queue), schema=STREAM, **options)
         self._subscriptions.append(subscription)
         return subscription
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from queuelake.functions.uintn import in_step
 from queuelake.model import Absolute, ShiftFromTail
@@ -19,9 +20,9 @@ from queuelake.operators.reads import Position, last_id, of_queue, read_absolute
 Callback = Callable[[DataFrame], bool | None]
 
 
-def entry_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The entries table as a stream; the limit of files a trigger is the back-pressure."""
-    schema = spark.read.parquet(path).schema
+def entry_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000, schema: StructType | None = None) -> DataFrame:
+    """The entries table as a stream; the limit of files a trigger is the back-pressure. A table without files needs its ``schema``."""
+    schema = schema or spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -57,14 +58,17 @@ class Subscription:
             self.query.stop()
 
 
-def follow(spark: SparkSession, path: str, queue: str | None, position: Position, callback: Callback, step: int = 1, checkpoint: str | None = None, trigger: dict | None = None) -> Subscription:
+def follow(spark: SparkSession, path: str, queue: str | None, position: Position, callback: Callback, step: int = 1, checkpoint: str | None = None, trigger: dict | None = None, entries: DataFrame | None = None, schema: StructType | None = None) -> Subscription:
     """Deliver what there is from ``position`` on, then what is appended; each entry once.
 
+    What is appended comes to the table at ``path``. What there is are
+    ``entries``, where they aren't in that table alone.
+
     The last id is read first. History up to it is one batch; the stream takes
     ids beyond it alone, so that no entry is delivered twice and none is lost
     between. After a failure the checkpoint goes on where it was.
     """
-    entries = spark.read.parquet(path)
+    entries = spark.read.parquet(path) if entries is None else entries
     start, last = follow_start(entries, queue, position)
     subscription = Subscription()
     if last is not None and start <= last:
@@ -73,7 +77,7 @@ def follow(spark: SparkSession, path: str, queue: str | None, position: Position
             subscription.ended = True
             return subscription
     beyond = max(start, 0 if last is None else last + 1)
-    live = of_queue(entry_stream(spark, path), queue).where(in_step(F.col("id"), start, step) & (F.col("id") >= beyond))
+    live = of_queue(entry_stream(spark, path, schema=schema), queue).where(in_step(F.col("id"), start, step) & (F.col("id") >= beyond))
 
     def deliver(batch: DataFrame, _: int) -> None:
         if not subscription.ended and not batch.isEmpty() and callback(batch.orderBy("id")) is False:

@@ -122,6 +122,20 @@ def test_follow_with_step_and_from_the_tail(spark, engine):
     assert got == [0, 3, 6, 9, 12] and live == [10, 11, 12]
 
 
+def test_follow_after_compaction_and_offload(spark, engine):
+    engine.write("q", [f"entry-{i}".encode() + b"x" * 50 for i in range(20)])
+    engine._queues.clear()
+    engine.compact("q")
+    assert engine.offload() > 3 and engine.retain(300)
+    got, tail, live = [], [], []
+    follows = [engine.follow("q", lambda b: got.extend(rows(b)), Absolute(0)), engine.follow("q", lambda b: tail.extend(r["id"] for r in b.collect()), ShiftFromTail(12), step=4), engine.subscribe("q", lambda b: live.extend(r["id"] for r in b.collect()))]
+    assert got == [(i, f"entry-{i}".encode() + b"x" * 50) for i in range(20)] and tail == [7, 11, 15, 19] and live == []
+    assert engine.write("q", [b"y"] * 5).ids == [20, 21, 22, 23, 24]
+    for one in follows:
+        one.query.processAllAvailable()
+    assert [i for i, _ in got] == list(range(25)) and tail == [7, 11, 15, 19, 23] and live == [20, 21, 22, 23, 24]
+
+
 def test_release_in_order_as_a_stream(spark, tmp_path):
     schema = "queue string, id long, data binary"
     (tmp_path / "in").mkdir()
