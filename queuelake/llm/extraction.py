@@ -28,7 +28,12 @@ from queuelake.llm.common import session_of, small_batches
 #: Fixed values of HTML: tags inside a line of text, tags without an end, tags whose content is no text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = set("script style noscript template svg math iframe object canvas textarea select title head".split())
+OPAQUE = set("script style noscript template svg iframe textarea select title".split())
+#: Mathematics, and what stands for an object or a canvas, is text of its line.
+INLINE |= set("object canvas math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml maction".split())
+#: Where an opaque element without an end of its own ends at the latest: at a part of the page, or where the head does.
+PART = re.compile(r"</?(?:head|body|html|article|main|section|header|footer|nav|aside|div|p|h[1-6]|ul|ol|table|form|meta|link|base)\b", re.IGNORECASE)
+HEAD_ENDS = re.compile(r"</head\b|<body\b", re.IGNORECASE)
 #: An opening tag ends an open element of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>|.*)""", re.DOTALL)
@@ -37,6 +42,17 @@ NAME_WORD = re.compile(r"[a-z]+")
 SEED, PAGES, EPOCHS, RATE, DECAY = 5, 600, 8, 0.3, 1e-3
 
 
+def opaque_end(page: str, at: int, tag: str, unclosed: set[str]) -> int:
+    """Where an opaque element ends whose opening tag ends at ``at``. ``unclosed``: tags that no longer end in the page."""
+    end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+    if not end:
+        unclosed.add(tag)
+    if end and tag in ("script", "style"):
+        return end.end()
+    stop = (HEAD_ENDS if end and tag != "select" else PART).search(page, at, end.start() if end else len(page))
+    return stop.start() if stop else end.end() if end else len(page)
+
+
 def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
     """(text, path, share of the text inside links) of each leaf block with text, in page order.
 
@@ -48,6 +64,7 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
     names: list[str] = []
     parts: list[str] = []
     linked = in_link = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -86,11 +103,10 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
                 pop_to(len(names) - 1 - names[::-1].index(tag))
             continue
         if tag in OPAQUE:
-            if tag != "head":
-                flush()
             if not m[3].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|$(?![\s\S])", re.IGNORECASE).search(page, at)
-                at = end.end()
+                at = opaque_end(page, at, tag, unclosed)
+            continue
+        if tag == "head":  # its end tag may be missing, and what it holds is opaque or void
             continue
         if tag in INLINE:
             if tag == "br":

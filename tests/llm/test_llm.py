@@ -130,6 +130,20 @@ def test_extraction_learns_labelled_pages():
     assert right / sum(len(labels) for _, labels in pages) > 0.98
 
 
+def test_blocks_of_pages_with_missing_ends_and_inline_elements():
+    def texts(page):
+        return [t for t, _, _ in extraction.leaf_blocks(page)]
+
+    body = "<article><p>One.</p><p>Two.</p></article>"
+    for head in ("<head><title>T</title>", "<head><title>T", "<head><title>T</title><noscript><link href=a>", "<head><title>T</title></head>", "<head><meta charset=utf-8><style>p{}</style>"):
+        for opening in ("<body>", "" if head.endswith(("</title>", "</head>", "</style>")) else "<body>"):
+            assert texts(f"<html>{head}{opening}{body}<svg><title>x</title></svg>") == ["One.", "Two."], head
+    assert texts(f"<body><select><option>a<option>b{body}") == ["One.", "Two."]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object data=a>an object</object> or <canvas>a canvas</canvas>.</p>") == ["If x=2 then an object or a canvas."]
+    assert texts("<p>be<script>var a = '<p>';</script>fore <svg><path/></svg>after</p>") == ["before after"]
+    assert texts("<title>On <b> and <div> tags</title><p>Text.</p>") == ["Text."]
+
+
 def test_viterbi_is_the_best_labelling():
     field = extraction.trained_field()
     for blocks, _ in extraction.trained_blocks(extraction.labelled_pages(25, seed=4)):
