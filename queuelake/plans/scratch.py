@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder of our own only where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """What spark.checkpoint.dir names; where it is unset, a temporary folder for a local session (as in tests) and an error on a cluster."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="queuelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _LOCAL.get(context.applicationId) or _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="queuelake-"))
     return found.rstrip("/")
 
 
