@@ -2,44 +2,49 @@
 
 A rolling hash over a text's code points cuts it where the hash of the last 16
 of them has a given form, so that documents that share a passage share its
-chunks. Each chunk is encoded once for each task and kept. The encodings of two
-neighbouring chunks needn't join to the encoding of both: a word may straddle
-the cut. So a chunk keeps its encoding only between its first and its last
-agreed boundary, a place where pre-tokenisation must split whatever stands
-around it; what lies between the last boundary of one chunk and the first of
-a later one is joined and encoded again. A chunk without a boundary agrees with
-neither side, and the join goes on into the chunk after it.
-
-A boundary stands before a single space that follows a word character or one
-of ``. , ; : ! ?`` and precedes a word character: no alternative of the
-byte-level pre-tokeniser's pattern runs across it, its only look-ahead
-concerns white space, and no special token holds a space.
+chunks. Each distinct chunk is encoded once for each task and kept. The
+encodings of two neighbours needn't join to the encoding of both: a word, a run
+of spaces or a special token may straddle the cut. So each join is repaired:
+some bytes on both sides of it are encoded again together, and ever more of
+them, until the new tokens agree with what stood on the left in their first
+token and with what stands on the right in some token. If they don't agree on
+the right within the whole chunk, the new tokens stay, and the next join
+goes on from them.
+
+Why agreement makes the join exact. A list of tokens is the encoding of a piece
+of text that pre-tokenisation doesn't split if and only if each two neighbours
+in it are the encoding of their own text, since merges are chosen by rank alone.
+A list that changes over at a token which both lists have keeps each pair of
+neighbours. The pre-tokeniser's pieces are runs of one class of characters, so
+that scans which begin at different places of a run end it at the same place.
+Only an apostrophe, white space and a special token make them look further, by
+fewer characters than the least REACH.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+import json
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from queuelake.llm.common import session_of, small_batches, text_or_empty
 
 WINDOW = 16
-#: A cut has these many leading zero bits in its hash: chunks of 512 code points on average.
+#: A cut has these many leading zero bits in its hash: chunks of some 512 code points on average, and of MOST_CHUNK at most.
 CUT_BITS = 9
-LEAST_CHUNK = 64
-BOUNDARY = re.compile(r"(?<=[\w.,;:!?])(?= \w)")
-#: What stands between two of them.
-BETWEEN = re.compile(r" \w(?:.*[\w.,;:!?])?", re.DOTALL)
-#: Entries kept in a worker: pieces between neighbouring boundaries, in two generations, and chunks. What is pushed out is encoded again; that costs time only.
-PIECES, CHUNKS = 100_000, 6_000
-#: Texts that are cut and encoded together.
-TOGETHER = 250
+LEAST_CHUNK, MOST_CHUNK = 64, 2048
+#: Bytes on each side of a join that are encoded again at first; four times as many at each further try.
+REACH = 32
+#: Bytes of chunks and their tokens that a task keeps. What is dropped is encoded again when it comes back; that costs time only.
+KEPT_BYTES = 16 << 20
+#: Fixed value: the byte-level pre-tokeniser's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -63,162 +68,161 @@ def cuts(text: str) -> list[int]:
             factor, width = factor * factor, width * 2
         h *= np.uint32(0x85EBCA6B)
     out, last = [], 0
-    for i in np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0).tolist():
-        if i + 1 - last >= LEAST_CHUNK:
-            last = i + 1
+    for at in [*(np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist(), n]:
+        while at - last > MOST_CHUNK:
+            last += MOST_CHUNK
+            out.append(last)
+        if at - last >= LEAST_CHUNK or at == n and at > last:
+            last = at
             out.append(last)
-    if not out or out[-1] != n:
-        out.append(n)
     return out
 
 
+def _alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
 class ChunkedBpe:
-    """Encodes texts through shared chunks; an encoding is (count, ids joined by commas, decoded bytes)."""
+    """Encodes texts through shared chunks, as the tokenizers library does with the file at ``path``.
+
+    A file that isn't byte-level BPE with the usual pattern is an error: the
+    joins' exactness rests on it.
+    """
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        known = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not known or not plain or any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path} isn't a byte-level BPE tokenizer")
+        alphabet = _alphabet()
+        special = {t["content"]: t["id"] for t in added}
+        of = {i: bytes(alphabet[c] for c in token) for token, i in model["vocab"].items() if token not in special} | {i: t.encode() for t, i in special.items()}
+        top = max(of) + 1
+        self.token_bytes = [of.get(i, b"") for i in range(top)]
+        self.names = [str(i) for i in range(top)]
+        self.lengths = [len(b) for b in self.token_bytes]
+        self.reach = max(REACH, 2 * max((len(t.encode()) for t in special), default=0))
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self._encode = self._by_rank(of, special) if merged == sorted(set(merged)) else self._by_library(path)
+        self._of_task()
+
+    def _of_task(self) -> None:
+        """Forget the chunks, as at a task's end."""
+        self.chunks: dict[str, array] = {}
+        self.older: dict[str, array] = {}
+        self.kept = 0
+        #: How many chunks were asked for, encoded, and bytes encoded again at joins.
+        self.asked = self.encoded = self.repaired = 0
+
+    @staticmethod
+    def _by_rank(of: dict[int, bytes], special: dict[str, int]) -> Callable[[str], list[int]]:
+        """Where ids are in the order of merges, an id is its merge's rank."""
+        import tiktoken
+
+        ranks = {b: i for i, b in of.items() if i not in set(special.values())}
+        made = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: made.encode(text, allowed_special="all", disallowed_special=())
+
+    @staticmethod
+    def _by_library(path: str) -> Callable[[str], list[int]]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        #: A piece's ids, and where decoding them gives other bytes than the piece's, these.
-        self.pieces: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.unequal: dict[str, bytes] = {}
-        #: A chunk's first and last boundary and the encoding between them; None if it has less than two.
-        self.chunks: dict[str, tuple[int, int, tuple[str, bytes] | None]] = {}
-        self.token_bytes = self._token_bytes()
-        self.token_lengths = np.zeros(max(self.token_bytes) + 1, np.int64)
-        for i, data in self.token_bytes.items():
-            self.token_lengths[i] = len(data)
-
-    def _token_bytes(self) -> dict[int, bytes]:
-        """Each id's bytes: vocabulary strings spell bytes in the byte-level alphabet, added tokens are plain text."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        added = self.tokenizer.get_added_tokens_decoder()
-        out = {}
-        for token, i in self.tokenizer.get_vocab().items():
-            out[i] = token.encode() if i in added else bytes(alphabet[c] for c in token)
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.encoding(text)[1].split(",") if x]
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        return lambda text: made.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode, once, those of ``pieces`` (strings that stand between boundaries) that are new; decode each new encoding."""
-        if len(self.pieces) > PIECES:
-            self.older, self.pieces = self.pieces, {}
-        known, older = self.pieces, self.older
-        missing = set(pieces).difference(known)
-        new = list(missing.difference(older))
-        for p in missing.intersection(older):
-            known[p] = older[p]
-        of = self.token_bytes
-        rest = self._learn_row([p for p in new if BETWEEN.fullmatch(p)])
-        rest += [p for p in new if p not in known and not BETWEEN.fullmatch(p)]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            ids = e.ids
-            known[p] = ",".join(map(str, ids))
-            data = b"".join([of[i] for i in ids])
-            if data != p.encode():
-                self.unequal[p] = data
-
-    def _learn_row(self, pieces: list[str]) -> list[str]:
-        """Encode pieces that begin and end at boundaries in a row, and part the ids where the pieces part.
-
-        Returns the pieces whose ends the tokens' ends don't meet or whose bytes don't come back: none, if boundaries are what they should be.
-        """
-        if not pieces:
-            return []
-        row = "".join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, dtype=np.int64)
-        ends = np.cumsum(self.token_lengths[ids])
-        wanted = np.cumsum([len(p.encode()) for p in pieces])
-        place = np.searchsorted(ends, wanted)
-        numbers = ids.tolist()
-        if place[-1] >= len(ends) or not (ends[place] == wanted).all() or b"".join([self.token_bytes[i] for i in numbers]) != row.encode():
-            return pieces
-        names, first = list(map(str, numbers)), 0
-        for p, last in zip(pieces, (place + 1).tolist()):
-            self.pieces[p] = ",".join(names[first:last])
-            first = last
-        return []
-
-    def _put_together(self, pieces: list[str]) -> tuple[str, bytes]:
-        ids = ",".join(filter(None, map(self.pieces.__getitem__, pieces)))
-        if not self.unequal:
-            return ids, "".join(pieces).encode()
-        return ids, b"".join([self.unequal.get(p, b"") if p in self.unequal else p.encode() for p in pieces])
-
-    def encodings(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """The texts' encodings."""
-        return [e for i in range(0, len(texts), TOGETHER) for e in self._encodings(texts[i : i + TOGETHER])]
-
-    def _encodings(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """In three steps: cut; encode new chunks and the joins between chunks; put together."""
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        chunks, pieces = self.chunks, []
-        # What a chunk holds until its middle is encoded: the pieces between its boundaries.
-        fresh: dict[str, list[str]] = {}
-        plans = []
-        for text in texts:
-            plan: list[tuple[bool, str]] = []
-            carry, last = "", 0
-            for cut in cuts(text):
-                chunk, last = text[last:cut], cut
-                found = chunks.get(chunk)
-                if found is None:
-                    parts = BOUNDARY.split(chunk)
-                    if len(parts) > 2:
-                        fresh[chunk] = middle = parts[1:-1]
-                        pieces += middle
-                        found = (len(parts[0]), len(chunk) - len(parts[-1]), ("", b""))
-                    else:
-                        found = (0, 0, None)
-                    chunks[chunk] = found
-                first, final, middle = found
-                if middle is None:
-                    carry += chunk
-                    continue
-                plan += [(False, carry + chunk[:first]), (True, chunk)]
-                carry = chunk[final:]
-            plan.append((False, carry))
-            plans.append(plan)
-            pieces += [s for is_chunk, s in plan if not is_chunk]
-        self._learn(pieces)
-        for chunk, middle in fresh.items():
-            first, final, _ = chunks[chunk]
-            chunks[chunk] = (first, final, self._put_together(middle))
-        out = []
-        for plan in plans:
-            parts = [chunks[s][2] if is_chunk else self._put_together([s]) for is_chunk, s in plan]
-            ids = ",".join([i for i, _ in parts if i])
-            out.append((ids.count(",") + 1 if ids else 0, ids, b"".join([d for _, d in parts])))
-        return out
-
-    def encoding(self, text: str) -> tuple[int, str, bytes]:
-        return self.encodings([text])[0]
-
-
-def of_process(path: str) -> ChunkedBpe:
-    """The encoder of this worker process: tasks that run one after another in it share their chunks."""
-    import sys
-    import types
-
-    held = sys.modules.setdefault("_queuelake_bpe", types.ModuleType("_queuelake_bpe"))
-    key = f"{path}:{hash(ChunkedBpe._encodings.__code__)}"
-    if getattr(held, "key", None) != key:
-        held.bpe, held.key = ChunkedBpe(path), key
-    return held.bpe
+    def _chunk(self, chunk: str) -> array:
+        """A chunk's own encoding, made once while it is kept."""
+        self.asked += 1
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = self.older.get(chunk)
+            if found is None:
+                self.encoded += 1
+                found = array("I", self._encode(chunk))
+            if self.kept > KEPT_BYTES // 2:
+                self.older, self.chunks, self.kept = self.chunks, {}, 0
+            self.chunks[chunk] = found
+            self.kept += 4 * len(chunk) + 4 * len(found) + 250
+        return found
+
+    def _agreement(self, found: list[int], at: int, chunk: array, start: int) -> tuple[int, int] | None:
+        """The first token that both lists have at one place; the lists begin at bytes ``at`` and ``start``."""
+        lengths, a, b = self.lengths, 0, 0
+        n, m = len(found), len(chunk)
+        while a < n and b < m:
+            if at < start:
+                at += lengths[found[a]]
+                a += 1
+            elif start < at:
+                start += lengths[chunk[b]]
+                b += 1
+            elif found[a] == chunk[b]:
+                return a, b
+            else:
+                at += lengths[found[a]]
+                start += lengths[chunk[b]]
+                a, b = a + 1, b + 1
+        return None
+
+    def _join(self, data: bytes, ids: array, at: int, chunk: array, end: int) -> None:
+        """Make ``ids``, the encoding of data[:at], that of data[:end]; ``chunk`` is the encoding of data[at:end]."""
+        lengths, reach = self.lengths, self.reach
+        while True:
+            i, left = len(ids), at
+            while i and (at - left < reach or data[left] & 0xC0 == 0x80):  # not within a character
+                i -= 1
+                left -= lengths[ids[i]]
+            j, right, m = 0, at, len(chunk)
+            while j < m and (right - at < reach or right < end and data[right] & 0xC0 == 0x80):
+                right += lengths[chunk[j]]
+                j += 1
+            found = self._encode(data[left:right].decode())
+            self.repaired += right - left
+            if not i or found[0] == ids[i]:
+                both = self._agreement(found, left, chunk, at)
+                if both:
+                    del ids[i:]
+                    ids.extend(found[: both[0]])
+                    ids.extend(chunk[both[1] :])
+                    return
+                if j == m:
+                    del ids[i:]
+                    ids.extend(found)
+                    return
+            reach *= 4
+
+    def encode(self, text: str) -> array:
+        """The ids of a whole text."""
+        data, ids, at, last = text.encode(), array("I"), 0, 0
+        for cut in cuts(text) if text else ():
+            piece, last = text[last:cut], cut
+            chunk, end = self._chunk(piece), at + (len(piece) if piece.isascii() else len(piece.encode()))
+            if at:
+                self._join(data, ids, at, chunk, end)
+            else:
+                ids.extend(chunk)
+            at = end
+        return ids
+
+
+@lru_cache(1)
+def _of_process(path: str) -> ChunkedBpe:
+    """A worker process reads a vocabulary once; the chunks are each task's own."""
+    return ChunkedBpe(path)
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
@@ -226,22 +230,28 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
 
     Defined cases: a null or empty text has no tokens; special tokens' strings
     inside a text are encoded as the library does by default; texts of any
-    length are encoded whole. Other columns are not passed on.
+    length are encoded whole; repeated rows are encoded alike; an empty table
+    gives an empty result. Other columns are not passed on.
     """
     small_batches(session_of(docs))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = of_process(path)
-        for batch in batches:
-            counts, hashes, decoded, lists = [], [], [], []
-            for n, joined, data in bpe.encodings(batch["text"].tolist()):
-                counts.append(n)
-                hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(data.decode("utf-8", errors="replace").encode()).hexdigest())
-                if ids:
-                    lists.append([int(x) for x in joined.split(",") if x])
-            out = {"doc_id": batch["doc_id"], "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": hashes, "decoded_sha256": decoded}
-            yield pd.DataFrame(out | ({"ids": lists} if ids else {}))
+    def encode(batches: Iterator) -> Iterator:
+        coder = _of_process(path)
+        coder._of_task()
+        try:
+            for batch in batches:
+                counts, hashes, decoded, lists = [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    found = coder.encode(text)
+                    counts.append(len(found))
+                    hashes.append(hashlib.sha256(",".join(map(coder.names.__getitem__, found)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(coder.decode(found).encode()).hexdigest())
+                    if ids:
+                        lists.append(found.tolist())
+                columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if ids else {}))
+        finally:
+            coder._of_task()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(encode, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(encode, schema)
