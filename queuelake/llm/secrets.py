@@ -15,10 +15,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +47,25 @@ PEM_BEGIN = re.compile(r"-{4,5}\x20?BEGIN [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?\x2
 PEM_END = re.compile(r"-{4,5}\x20?END ")
 PEM_REST = re.compile(r"""(?:[A-Za-z0-9+/=\\"',]|\s)*+""", re.ASCII)
 PEM_EDGES = " \t\r\n\\\"',"
-#: How far after a sensitive word a candidate may begin (white space counts as one character), and how much text stands around it in the frame.
-REACH, AROUND = 60, 256
-REACHED = re.compile(rf"(?:\s++|\S){{0,{REACH}}}+")
-#: Bytes a character from which a candidate is novel. Random base64 costs about 0.9, identifiers below 0.6.
-NOVEL = 0.7
 LEAST_CORE, LEAST_RUN = 8, 16
+
+
+class Context(NamedTuple):
+    """What the novelty scan means by context: parameters of ``scan`` and ``redact``."""
+
+    #: How far after a sensitive word a candidate may begin; a run of white space counts as one character.
+    reach: int = 60
+    #: How many characters on each side of a candidate stand in the frame with it.
+    around: int = 256
+    #: Bytes a character from which a candidate is novel. Random base64 costs about 0.9, identifiers below 0.6.
+    novel: float = 0.7
+
+
+@lru_cache
+def _reached(reach: int) -> re.Pattern:
+    return re.compile(rf"(?:\s++|\S){{0,{reach}}}+")
+
+
 IDENTIFIERS = (
     "import from return class function def self this public private protected static const let var null None true false "
     "string number integer boolean object array list value index length count name type size data item node next previous parent child "
@@ -74,21 +90,21 @@ def core_of(found: str) -> str:
     return core if len(core) >= LEAST_CORE else found
 
 
-def _around(text: str, start: int, end: int) -> str:
-    """AROUND characters on both sides, without other occurrences of text[start:end], whole ones or such as the cut would part."""
+def _around(text: str, start: int, end: int, around: int) -> str:
+    """``around`` characters on both sides, without other occurrences of text[start:end], whole ones or such as the cut would part."""
     core = core_of(text[start:end])
-    reach, edge = 2 * AROUND + 4 * len(core), len(core) - 1
+    reach, edge = 2 * around + 4 * len(core), len(core) - 1
     left, right = text[max(0, start - reach) : start].replace(core, "\n"), text[end : end + reach].replace(core, "\n")
     left = left[edge:] if start > reach else left
     right = right[: max(0, len(right) - edge)] if end + reach < len(text) else right
-    return left[-AROUND:] + "\n" + right[:AROUND]
+    return left[len(left) - min(around, len(left)) :] + "\n" + right[:around]
 
 
-def novelty(text: str, start: int, end: int, compressor) -> float:
+def novelty(text: str, start: int, end: int, compressor, around: int = Context().around) -> float:
     """The marginal compressed bytes of text[start:end] for each of its bytes."""
     found = text[start:end].encode()
-    around = _around(text, start, end).encode()
-    return (len(compressor.compress(around + found)) - len(compressor.compress(around))) / len(found)
+    beside = _around(text, start, end, around).encode()
+    return (len(compressor.compress(beside + found)) - len(compressor.compress(beside))) / len(found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -103,13 +119,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
-def candidates(text: str, start: int, done: int) -> Iterator[re.Match]:
+def candidates(text: str, start: int, done: int, reach: int = Context().reach) -> Iterator[re.Match]:
     """The runs within reach of a sensitive word that ends at ``start``, from ``done`` on: what follows in the word's own run, then whole runs."""
     at = max(start, done)
     if at == start and (m := RUN.match(text, JOINTS.match(text, at).end())):
         yield m
         at = m.end()
-    end = min(len(text), REACHED.match(text, start).end() + LEAST_RUN)
+    end = min(len(text), _reached(reach).match(text, start).end() + LEAST_RUN)
     while m := CANDIDATE.search(text, at, end):
         m = RUN.match(text, m.start())
         yield m
@@ -133,7 +149,24 @@ def private_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) -> list[tuple[int, int, int, int]]:
+def occurrences(text: str, cores: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of each core's occurrences, leftmost and without overlaps of one core, in one pass over the text."""
+    import ahocorasick
+
+    if not cores:
+        return
+    automaton, until = ahocorasick.Automaton(), {}
+    for core in cores:
+        automaton.add_word(core, core)
+    automaton.make_automaton()
+    for last, core in automaton.iter(text):
+        start = last + 1 - len(core)
+        if start >= until.get(core, 0):
+            until[core] = last + 1
+            yield start, last + 1
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor, context: Context = Context()) -> list[tuple[int, int, int, int]]:
     """Incompressible strings that stand in a sensitive context, wherever they occur, where no base span touches them."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
@@ -146,7 +179,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
             return False
         core = core_of(found)
         if core not in verdicts:
-            verdicts[core] = novelty(text, start, end, compressor) >= NOVEL
+            verdicts[core] = novelty(text, start, end, compressor, context.around) >= context.novel
         if verdicts[core]:
             spans[start] = max(end, spans.get(start, 0))
         return verdicts[core]
@@ -154,7 +187,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
     key_starts, key_ends = [], []
     for start, end in private_keys(text):
         runs = sum(m.end() - m.start() for m in RUN.finditer(text, start, end))
-        if 2 * runs < end - start or novelty(text, start, end, compressor) < NOVEL:
+        if 2 * runs < end - start or novelty(text, start, end, compressor, context.around) < context.novel:
             for m in CANDIDATE.finditer(text, start, end):
                 measured(m.start(), m.end())
             continue
@@ -169,7 +202,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
         if start < end:
             spans[start] = end
     for word in SENSITIVE.finditer(text):
-        for m in candidates(text, word.end(), done):
+        for m in candidates(text, word.end(), done, context.reach):
             done = max(done, m.end())
             k = bisect_left(key_starts, m.end())
             if k and key_ends[k - 1] > m.start():
@@ -177,11 +210,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
             while m and measured(m.start(), m.end()):
                 m = (following := NEXT_LINE.match(text, m.end())) and RUN.match(text, following.end())
                 done = max(done, m.end() if m else 0)
-    for core in [c for c, novel in verdicts.items() if novel]:
-        at = text.find(core)
-        while at >= 0:
-            spans[at] = max(at + len(core), spans.get(at, 0))
-            at = text.find(core, at + len(core))
+    for start, end in occurrences(text, [c for c, novel in verdicts.items() if novel]):
+        spans[start] = max(end, spans.get(start, 0))
     starts, ends = [s for s, *_ in base], list(accumulate((e for _, _, e, _ in base), max))
     out, until = [], 0
     for start, end in sorted(spans.items()):
@@ -196,9 +226,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], compressor) ->
     return out
 
 
-def scan_text(text: str, compressor) -> list[tuple[int, int, int, int]]:
+def scan_text(text: str, compressor, context: Context = Context()) -> list[tuple[int, int, int, int]]:
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base, compressor))
+    return sorted(base + novel_spans(text, base, compressor, context))
 
 
 def listed(spans: list[tuple[int, int, int, int]]) -> str:
@@ -217,39 +247,37 @@ def redact_text(text: str, spans: list[tuple[int, int, int, int]], mark: str = "
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, context: Context = Context()) -> DataFrame:
     """Every document's secrets: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     Defined cases: a null text is empty and has no spans; overlapping spans of
     different kinds are all kept; repeated rows are scanned alike; an empty
-    table gives an empty result.
+    table gives an empty result; other columns are not passed on, and ids come
+    back as they are, whatever other ids stand beside them.
     """
     small_batches(session_of(docs))
 
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_batches(batches: Iterator) -> Iterator:
         compressor = _compressor()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                spans = scan_text(text, compressor)
-                kinds = [k for _, k, _, _ in spans]
-                base = listed([s for s in spans if s[1] < 3])
-                rows.append((doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), listed(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]).astype({"doc_id": batch["doc_id"].dtype})
+            found = [scan_text(text, compressor, context) for text in batch.column("text").to_pylist()]
+            kinds = [Counter(k for _, k, _, _ in spans) for spans in found]
+            columns = {f"n_{name}": pa.array([c[k] for c in kinds], pa.int64()) for k, name in enumerate(KINDS)}
+            hashes = [hashlib.sha256(listed([s for s in spans if s[1] < 3]).encode()).hexdigest() for spans in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | columns | {"base_sha256": pa.array(hashes, pa.string()), "spans": pa.array(map(listed, found), pa.string())})
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(of_batches, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(of_batches, schema)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, context: Context = Context()) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by a mark, and n_chars (if there) made to follow. Null texts stay null."""
     small_batches(session_of(docs))
 
-    @F.pandas_udf("string")
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def clean_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressor = _compressor()
         for batch in texts:
-            yield pd.Series([t if t is None else redact_text(t, s) if (s := scan_text(t, compressor)) else t for t in batch], dtype=object)
-
-    out = docs.withColumn("text", clean("text"))
+            yield pa.array([t if t is None else redact_text(t, s) if (s := scan_text(t, compressor, context)) else t for t in batch.to_pylist()], pa.string())
+    out = docs.withColumn("text", clean_batches("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
