@@ -16,10 +16,11 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from queuelake.llm.common import session_of, small_batches
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = set("script style noscript template svg iframe textarea select title".split())
+#: Opaque elements that stand in each other.
+NESTING = {"svg", "template"}
 #: Mathematics, and what stands for an object or a canvas, is text of its line.
 INLINE |= set("object canvas math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml maction".split())
 #: Where an opaque element without an end of its own ends at the latest: at a part of the page, or where the head does.
@@ -43,7 +46,14 @@ SEED, PAGES, EPOCHS, RATE, DECAY = 5, 600, 8, 0.3, 1e-3
 
 
 def opaque_end(page: str, at: int, tag: str, unclosed: set[str]) -> int:
-    """Where an opaque element ends whose opening tag ends at ``at``. ``unclosed``: tags that no longer end in the page."""
+    """Where an opaque element ends whose opening tag ends at ``at``. ``unclosed``: tags that no longer end in the page, or not in pairs."""
+    if tag in NESTING and f"{tag} in pairs" not in unclosed:
+        depth = 1
+        for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE).finditer(page, at):
+            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return m.end()
+        unclosed.add(f"{tag} in pairs")
     end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
     if not end:
         unclosed.add(tag)
@@ -53,15 +63,67 @@ def opaque_end(page: str, at: int, tag: str, unclosed: set[str]) -> int:
     return stop.start() if stop else end.end() if end else len(page)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, path, share of the text inside links) of each leaf block with text, in page order.
-
-    A path is the open elements, each ``tag`` or ``tag.word.word``. References
-    are decoded and white space, line breaks included, becomes one space.
+class OpenElements:
+    """The open elements of a page and the features of a block in them; what an element adds is counted, so that depth costs no more than its own names."""
+
+    def __init__(self, known: frozenset[str] | None) -> None:
+        self.known, self.names, self.added = known, [], []
+        self.open: Counter[str] = Counter()
+        self.counts: Counter[str] = Counter()
+        self.depth, self.path = 0, None
+
+    def push(self, tag: str, words: set[str]) -> None:
+        inner = tag not in ("html", "body")
+        found = [f"has {tag}"] * inner + [f"word {w}" for w in words]
+        found = [f for f in found if self.known is None or f in self.known]
+        self.names.append(tag)
+        self.added.append(found)
+        self.open[tag] += 1
+        self.counts.update(found)
+        self.depth += inner
+        self.path = None
+
+    def pop(self) -> None:
+        tag = self.names.pop()
+        for f in self.added.pop():
+            self.counts[f] -= 1
+            if not self.counts[f]:
+                del self.counts[f]
+        self.open[tag] -= 1
+        self.depth -= tag not in ("html", "body")
+        self.path = None
+
+    def close(self, tag: str) -> None:
+        """End the innermost open ``tag`` and what is open in it; an end tag without such an element does nothing."""
+        if self.open[tag] > 0:
+            while self.names[-1] != tag:
+                self.pop()
+            self.pop()
+
+    def features(self) -> tuple[str, ...]:
+        """Each ancestor's tag and class words, wherever it stands, and the innermost tags in order."""
+        if self.path is None:
+            inner = []
+            for tag in reversed(self.names):
+                if tag not in ("html", "body"):
+                    inner.insert(0, tag)
+                if len(inner) == 2:
+                    break
+            self.path = (*sorted(self.counts), f"tag {inner[-1] if inner else ''}", f"pair {' '.join(inner)}", f"depth {min(6, self.depth)}", "bias")
+        return self.path
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[str, ...], float]]:
+    """(text, features of its ancestors, share of the text inside links) of each leaf block with text, in page order.
+
+    References are decoded and white space, line breaks included, becomes one
+    space. ``known`` names the features of ancestors that matter; others are
+    passed over, so that a page's own names don't add up in nested elements.
     """
-    out: list[tuple[str, str, float]] = []
-    stack: list[str] = []
-    names: list[str] = []
+    out: list[tuple[str, tuple[str, ...], float]] = []
+    stack = OpenElements(known)
+    names = stack.names
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
     parts: list[str] = []
     linked = in_link = 0
     unclosed: set[str] = set()
@@ -70,13 +132,11 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, ">".join(stack), min(1.0, linked / len(text))))
+            path = stack.features()
+            out.append((text, paths.setdefault(path, path), min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        del stack[k:], names[k:]
-
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -99,8 +159,7 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
             if tag in INLINE:
                 continue
             flush()
-            if tag in names:
-                pop_to(len(names) - 1 - names[::-1].index(tag))
+            stack.close(tag)
             continue
         if tag in OPAQUE:
             if not m[3].endswith("/>"):
@@ -116,31 +175,19 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
             continue
         flush()
         if "p" in names[-3:]:
-            pop_to(len(names) - 1 - names[::-1].index("p"))
+            stack.close("p")
         closes = ENDS.get(tag, ())
         if names and names[-1] in closes:
-            pop_to(len(names) - 1)
+            stack.pop()
             if tag == "tr" and names and names[-1] in closes:
-                pop_to(len(names) - 1)
+                stack.pop()
         if tag in VOID or m[3].endswith("/>"):
             continue
-        words = sorted({w for g in NAMES.findall(m[3]) for w in NAME_WORD.findall("".join(g).lower())}) if "=" in m[3] else []
-        stack.append(".".join([tag, *words]))
-        names.append(tag)
+        stack.push(tag, {w for g in NAMES.findall(m[3]) for w in NAME_WORD.findall("".join(g).lower())} if "=" in m[3] else set())
     flush()
     return out
 
 
-def path_features(path: str) -> list[str]:
-    """An ancestor's tag and each of its class words, wherever it stands, and the innermost tags in order."""
-    open_elements = [e for e in path.split(">") if e]
-    tags = [e.split(".")[0] for e in open_elements]
-    words = {w for e in open_elements for w in e.split(".")[1:]}
-    inner = [t for t in tags if t not in ("html", "body")]
-    found = {f"has {t}" for t in inner} | {f"word {w}" for w in words}
-    return [*sorted(found), f"tag {inner[-1] if inner else ''}", f"pair {' '.join(inner[-2:])}", f"depth {min(6, len(inner))}", "bias"]
-
-
 def text_features(text: str, links: float) -> list[str]:
     return [f"size {min(9, int(math.log2(1 + len(text))))}", f"links {int(links * 4)}", f"stop {text[-1] in '.!?…。'}", f"mark {text[0] in '©®™'}"]
 
@@ -151,9 +198,9 @@ class Field:
     def __init__(self) -> None:
         self.unary: dict[str, list[float]] = {}
         self.pairs = [[0.0, 0.0], [0.0, 0.0]]
-        self.paths: dict[str, tuple[float, float]] = {}
+        self.paths: dict[tuple[str, ...], tuple[float, float]] = {}
 
-    def _sum(self, features: list[str]) -> tuple[float, float]:
+    def _sum(self, features: Iterable[str]) -> tuple[float, float]:
         a = b = 0.0
         for f in features:
             w = self.unary.get(f)
@@ -162,19 +209,24 @@ class Field:
                 b += w[1]
         return a, b
 
-    def potentials(self, blocks: list[tuple[str, str, float]]) -> list[tuple[float, float]]:
+    @cached_property
+    def known(self) -> frozenset[str]:
+        """The features of ancestors that have weights."""
+        return frozenset(f for f in self.unary if f.startswith(("has ", "word ")))
+
+    def potentials(self, blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[float, float]]:
         out = []
         for text, path, links in blocks:
             p = self.paths.get(path)
             if p is None:
-                if len(self.paths) > 50_000:
+                if len(self.paths) > 5_000:
                     self.paths.clear()
-                p = self.paths[path] = self._sum(path_features(path))
+                p = self.paths[path] = self._sum(path)
             t = self._sum(text_features(text, links))
             out.append((p[0] + t[0], p[1] + t[1]))
         return out
 
-    def viterbi(self, blocks: list[tuple[str, str, float]]) -> list[int]:
+    def viterbi(self, blocks: list[tuple[str, tuple[str, ...], float]]) -> list[int]:
         """The most probable labels of a page's blocks; of equal ones, the lesser label."""
         if not blocks:
             return []
@@ -190,10 +242,10 @@ class Field:
             labels.append(choice[labels[-1]])
         return labels[::-1]
 
-    def train(self, pages: list[tuple[list[tuple[str, str, float]], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> None:
+    def train(self, pages: list[tuple[list[tuple[str, tuple[str, ...], float]], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> None:
         """Gradients of each page's log conditional likelihood, by forward-backward."""
         rng, squares, pair_squares = random.Random(seed), {}, [[1e-2, 1e-2], [1e-2, 1e-2]]
-        prepared = [([path_features(p) + text_features(t, k) for t, p, k in blocks], labels) for blocks, labels in pages if blocks]
+        prepared = [([[*p, *text_features(t, k)] for t, p, k in blocks], labels) for blocks, labels in pages if blocks]
         for _ in range(epochs):
             rng.shuffle(prepared)
             for rows, labels in prepared:
@@ -369,7 +421,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
     return [page() for _ in range(count)]
 
 
-def trained_blocks(pages: list[tuple[str, list[tuple[str, int]]]]) -> list[tuple[list[tuple[str, str, float]], list[int]]]:
+def trained_blocks(pages: list[tuple[str, list[tuple[str, int]]]]) -> list[tuple[list[tuple[str, tuple[str, ...], float]], list[int]]]:
     """The pages' parsed blocks with their labels; blocks whose text was made twice with different labels go."""
     out = []
     for page, said in pages:
@@ -389,7 +441,7 @@ def trained_field() -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.known)
     return "\n".join(b[0] for b, label in zip(blocks, field.viterbi(blocks)) if label)
 
 
@@ -404,11 +456,10 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(trained_field())
 
-    @F.pandas_udf("string")
-    def text(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def texts(htmls: Iterator[pa.Array]) -> Iterator[pa.Array]:
         field = shared.value
         for batch in htmls:
-            yield pd.Series([main_text(h, field) for h in batch], dtype=object)
-
-    out = pages.select("page_id", "url", text(F.coalesce("html", F.lit(""))).alias("text"))
+            yield pa.array([main_text(h, field) for h in batch.to_pylist()], pa.string())
+    out = pages.select("page_id", "url", texts(F.coalesce("html", F.lit(""))).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
