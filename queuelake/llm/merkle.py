@@ -14,14 +14,15 @@ branches (8 hex digits each) that differ locate edits.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ from queuelake.llm.common import session_of, small_batches, text_or_empty
 WINDOW, CUT_BITS, LEAST, MOST = 8, 5, 8, 48
 SECTION_BITS = 3
 BUCKETS_PER_PARTITION = 8
-_LEAF = re.compile(r"([0-9a-f]{8})\.([0-9]+)")
+_SECTION, _PARAGRAPH, _LEAF = re.compile(r"([0-9a-f]{8})\(([^)]*)\)"), re.compile(r"([0-9a-f]{8})\[([^\]]*)\]"), re.compile(r"([0-9a-f]{8})\.([0-9]+)")
+Node = tuple[str, Any, int]
 
 
 def segments(text: str) -> list[int]:
@@ -58,30 +60,39 @@ def segments(text: str) -> list[int]:
 
 
 class Fingerprint:
-    """A tree: root digest, and sections of paragraphs of leaves (hash, length)."""
+    """A tree: root digest, and sections of paragraphs of leaves. A node is (name, what it holds, length); a leaf holds nothing."""
 
     def __init__(self, text: str) -> None:
         import xxhash
 
         digest = xxhash.xxh64_digest
-        self.sections: list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]]]]]] = []
-        paragraphs: list[tuple[bytes, list[tuple[bytes, int]]]] = []
-        leaves: list[tuple[bytes, int]] = []
+        self.sections: list[Node] = []
+        names: list[bytes] = []
+        paragraphs: list[Node] = []
+        paragraph_names: list[bytes] = []
+        leaves: list[Node] = []
+        leaf_names: list[bytes] = []
 
         def close_paragraph() -> None:
-            name = digest(b"p" + b"".join([h for h, _ in leaves]))
-            paragraphs.append((name, leaves.copy()))
+            name = digest(b"p" + b"".join(leaf_names))
+            paragraphs.append((name[:4].hex(), leaves.copy(), sum(n for _, _, n in leaves)))
+            paragraph_names.append(name)
+            blank = leaves[-1][2] == 1
             leaves.clear()
-            if name[0] < 256 >> SECTION_BITS or paragraphs[-1][1][-1][1] == 1:
+            leaf_names.clear()
+            if name[0] < 256 >> SECTION_BITS or blank:
                 close_section()
 
         def close_section() -> None:
-            self.sections.append((digest(b"s" + b"".join([h for h, _ in paragraphs])), paragraphs.copy()))
+            names.append(digest(b"s" + b"".join(paragraph_names)))
+            self.sections.append((names[-1][:4].hex(), paragraphs.copy(), sum(n for _, _, n in paragraphs)))
             paragraphs.clear()
+            paragraph_names.clear()
 
         last = 0
         for end in segments(text) if text else ():
-            leaves.append((digest(text[last:end]), end - last))
+            leaf_names.append(digest(text[last:end]))
+            leaves.append((leaf_names[-1][:4].hex(), (), end - last))
             last = end
             if text[end - 1] == "\n":
                 close_paragraph()
@@ -89,58 +100,88 @@ class Fingerprint:
             close_paragraph()
         if paragraphs:
             close_section()
-        self.root = hashlib.md5(b"r" + b"".join([h for h, _ in self.sections])).hexdigest()
+        self.root = hashlib.md5(b"r" + b"".join(names)).hexdigest()
+
+    @classmethod
+    def parse(cls, written: str) -> Fingerprint:
+        """The tree that ``str`` has written."""
+        out = cls("")
+        out.root = written[:32]
+        for name, inner in _SECTION.findall(written, 33):
+            paragraphs = []
+            for p, leaves in _PARAGRAPH.findall(inner):
+                own = [(h, (), int(n)) for h, n in _LEAF.findall(leaves)]
+                paragraphs.append((p, own, sum(n for _, _, n in own)))
+            out.sections.append((name, paragraphs, sum(n for _, _, n in paragraphs)))
+        return out
+
+    def __len__(self) -> int:
+        return sum(n for _, _, n in self.sections)
 
     def __str__(self) -> str:
-        def leaf(x: tuple[bytes, int]) -> str:
-            return f"{x[0][:4].hex()}.{x[1]}"
+        def paragraph(p: Node) -> str:
+            return f"{p[0]}[{' '.join(f'{h}.{n}' for h, _, n in p[1])}]"
 
-        body = "".join(f"{s[:4].hex()}({''.join(f'{p[:4].hex()}[{" ".join(map(leaf, leaves))}]' for p, leaves in paragraphs)})" for s, paragraphs in self.sections)
-        return f"{self.root};{body}"
+        return f"{self.root};" + "".join(f"{name}({''.join(map(paragraph, inner))})" for name, inner, _ in self.sections)
 
 
-def _leaves(fingerprint: str) -> list[tuple[str, int]]:
-    return [(h, int(n)) for h, n in _LEAF.findall(fingerprint)]
+def unmatched(a: Fingerprint, b: Fingerprint) -> list[tuple[int, int]]:
+    """(start, length) of a's leaves that ``b`` lacks, from the root down.
 
-
-def likeness(a: str, b: str) -> float:
-    """The share of the longer text that stands in leaves which both fingerprints have; 1 for equal roots."""
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = _LEAF.findall(a), _LEAF.findall(b)
-    longer = max(sum(int(n) for _, n in x), sum(int(n) for _, n in y))
-    common = Counter(x) & Counter(y)
-    return sum(int(n) * k for (_, n), k in common.items()) / longer if longer else 1.0
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """The spans of a's text that ``b`` lacks, found from the root down: equal sections and paragraphs are passed over whole."""
-    if a[:32] == b[:32]:
+    Equal roots end the comparison. Sections that both trees have are passed
+    over whole; only in the others are paragraphs compared, and only in the
+    paragraphs that differ the leaves. Nodes that occur several times are
+    matched as often as both trees have them.
+    """
+    if a.root == b.root:
         return []
-    section, paragraph = re.compile(r"([0-9a-f]{8})\(((?:[^)])*)\)"), re.compile(r"([0-9a-f]{8})\[([^\]]*)\]")
-    have_sections = Counter(s for s, _ in section.findall(b))
-    have_paragraphs, have_leaves = Counter(p for p, _ in paragraph.findall(b)), Counter(_leaves(b))
-    spans, at = [], 0
-    for name, inner in section.findall(a):
-        size = sum(n for _, n in _leaves(inner))
-        if have_sections[name] > 0:
-            have_sections[name] -= 1
-            at += size
-            continue
-        for p, leaves in paragraph.findall(inner):
-            own = _leaves(leaves)
-            if have_paragraphs[p] > 0:
-                have_paragraphs[p] -= 1
-                at += sum(n for _, n in own)
-                continue
-            for leaf in own:
-                if have_leaves[leaf] > 0:
-                    have_leaves[leaf] -= 1
-                elif spans and spans[-1][1] == at:
-                    spans[-1] = (spans[-1][0], at + leaf[1])
-                else:
-                    spans.append((at, at + leaf[1]))
-                at += leaf[1]
+    at, mine, others = 0, [], list(b.sections)
+    for node in a.sections:
+        mine.append((at, node))
+        at += node[2]
+    for level in range(3):
+        have = Counter((name, n) for name, _, n in others)
+        rest, gone = [], Counter()
+        for start, node in mine:
+            if have[node[0], node[2]] > 0:
+                have[node[0], node[2]] -= 1
+                gone[node[0], node[2]] += 1
+            else:
+                rest.append((start, node))
+        if level == 2:
+            return [(start, node[2]) for start, node in rest]
+        left = []
+        for node in others:
+            if gone[node[0], node[2]] > 0:
+                gone[node[0], node[2]] -= 1
+            else:
+                left.append(node)
+        others = [inner for node in left for inner in node[1]]
+        mine = []
+        for start, node in rest:
+            for inner in node[1]:
+                mine.append((start, inner))
+                start += inner[2]
+    return []
+
+
+def likeness(a: Fingerprint | str, b: Fingerprint | str) -> float:
+    """The share of the longer text that stands in nodes which both trees have; 1 for equal roots."""
+    a, b = (Fingerprint.parse(x) if isinstance(x, str) else x for x in (a, b))
+    if a.root == b.root:
+        return 1.0
+    return (len(a) - sum(n for _, n in unmatched(a, b))) / max(len(a), len(b))
+
+
+def differing(a: Fingerprint | str, b: Fingerprint | str) -> list[tuple[int, int]]:
+    """The spans of a's text that ``b`` lacks."""
+    a, b = (Fingerprint.parse(x) if isinstance(x, str) else x for x in (a, b))
+    spans: list[tuple[int, int]] = []
+    for start, n in unmatched(a, b):
+        if spans and spans[-1][1] == start:
+            spans[-1] = (spans[-1][0], start + n)
+        else:
+            spans.append((start, start + n))
     return spans
 
 
@@ -151,63 +192,78 @@ def edited(text: str, following: str) -> str:
 
 
 def with_following(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, only: documents dealt to buckets of neighbouring ids, each bucket's last row followed by the next bucket's first.
+    """doc_id, text, __ql_hash, bucket, only: documents dealt to buckets that follow each other, each bucket's last row followed by the next bucket's first.
 
-    Bucket limits are quantiles of the ids; the driver sees these and each
-    bucket's first id, whose numbers depend on the partitions alone. Texts move once.
+    The order is that of ids, nulls last, then of the texts' hashes. Bucket
+    limits are quantiles of the ids. An id that is several quantiles at once,
+    or null, has several buckets, parted by the hash. The driver sees the limits
+    and each bucket's first row's keys, whose numbers depend on the partitions
+    alone. Texts move once.
     """
     spark = session_of(docs)
     n_buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select("doc_id")
-    limits = sorted({int(q) for q in ids.dropna().approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets)})
-    last = len(limits) + 1
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: last if i is None or i != i else bisect.bisect_right(limits, i)).astype("int32")
-
-    firsts = {r["bucket"]: r["first"] for r in ids.withColumn("bucket", bucket_of("doc_id")).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()}
-    filled = sorted(firsts)
-    # The first id of each bucket also goes to the bucket before it; that of the first bucket to the last.
-    table = [(firsts[b], filled[k - 1]) for k, b in enumerate(filled)]
-    also = spark.createDataFrame(table, "__ql_first long, __ql_before int")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("bucket", bucket_of("doc_id"))
-    rows = rows.join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("__ql_first")), "left")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    total, filled = docs.agg(F.count("*"), F.count("doc_id")).first()
+    quantiles = [int(q) for q in docs.select("doc_id").dropna().approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets)]
+    times = Counter(quantiles)
+    limits = sorted(times.keys() | {q + 1 for q, n in times.items() if n > 1})
+    parts = [times[q] if times[q] > 1 else 1 for q in limits]
+    # The first bucket lies before all limits; null ids come after all others.
+    sizes = np.array([1, *parts, max(1, -(-(total - filled) * n_buckets // max(1, total)))], np.int64)
+    bases, places = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array(limits, np.int64)
+
+    @F.arrow_udf("long")
+    def bucket_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        k = np.searchsorted(places, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right")
+        k[pc.is_null(ids).to_numpy(zero_copy_only=False)] = len(sizes) - 1
+        share = (hashes.to_numpy(zero_copy_only=False) >> 32) + (1 << 31)
+        return pa.array(bases[k] + ((share * sizes[k]) >> 32), pa.int64())
+
+    keys = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("__ql_hash")).withColumn("bucket", bucket_of("doc_id", "__ql_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__ql_hash"))
+    firsts = {r["bucket"]: r["first"] for r in keys.groupBy("bucket").agg(first.alias("first")).collect()}
+    order = sorted(firsts)
+    # The first row of each bucket also goes to the bucket before it; that of the first bucket to the last.
+    table = [(firsts[b]["doc_id"], firsts[b]["__ql_hash"], order[k - 1]) for k, b in enumerate(order)]
+    also = spark.createDataFrame(table, "__ql_first long, __ql_first_hash long, __ql_before long")
+    rows = rows.withColumn("__ql_hash", F.xxhash64("text")).withColumn("bucket", bucket_of("doc_id", "__ql_hash"))
+    rows = rows.join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("__ql_first")) & (F.col("__ql_hash") == F.col("__ql_first_hash")), "left")
     own = F.struct(F.col("bucket"), F.lit(False).alias("only"))
     copy = F.struct(F.col("__ql_before").alias("bucket"), F.lit(True).alias("only"))
     placed = rows.withColumn("place", F.explode(F.when(F.col("__ql_before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    return placed.select("doc_id", "text", "place.bucket", "place.only")
+    return placed.select("doc_id", "text", "__ql_hash", "place.bucket", "place.only")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document.
 
     Documents follow each other by ascending doc_id, nulls last, rows of one
-    id by text; after the last comes the first, so that a single document
-    follows itself. A null text is empty; two empty texts have likeness 1, an
-    empty and another 0. An empty table gives an empty result.
+    id by their texts' hashes; after the last comes the first, so that a single
+    document follows itself. A null text is empty; two empty texts have
+    likeness 1, an empty and another 0. An empty table gives an empty result;
+    other columns are not passed on, and ids come back as they are.
     """
     small_batches(session_of(docs))
-    rows = with_following(docs).repartition("bucket").sortWithinPartitions("bucket", "only", F.col("doc_id").asc_nulls_last(), "text")
+    rows = with_following(docs).repartition("bucket").sortWithinPartitions("bucket", "only", F.col("doc_id").asc_nulls_last(), "__ql_hash", "text")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator) -> Iterator:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
         held = None  # (bucket, doc_id, text, fingerprint) of the last row, if it still waits for its next one
         for batch in batches:
             out = []
-            for doc_id, text, bucket, only in zip(batch["doc_id"], batch["text"], batch["bucket"], batch["only"]):
+            for doc_id, text, bucket, only in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "only"))):
                 same = held is not None and held[0] == bucket
                 if only and not same:
                     continue
-                own = str(Fingerprint(text))
+                own = Fingerprint(text)
                 if same:
                     _, i, t, f = held
                     changed = edited(t, text)
-                    g = str(Fingerprint(changed))
-                    out.append((None if i is None or i != i else int(i), len(t), hashlib.sha256(changed.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, own)))
+                    g = Fingerprint(changed)
+                    out.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), str(f), str(g), likeness(f, g), likeness(f, own)))
                 held = None if only else (bucket, doc_id, text, own)
             if out:
-                frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                yield frame.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInPandas(walk, schema)
+    return rows.mapInArrow(walk, schema)
