@@ -12,10 +12,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,12 @@ FEATURES = BUCKETS + SHAPES + BINS * len(STATISTICS)
 FACTORS = 8
 #: At most so many labelled rows are learnt from: those whose ids' hashes are smallest. What is fitted stops changing long before.
 TRAIN_ROWS = 3000
-EPOCHS, RATE, DECAY, SEED = 12, 0.08, 2e-4, 11
+EPOCHS, MINI, RATE, DECAY, SEED = 12, 8, 0.08, 2e-4, 11
 KEEP = 0.3
+#: What a task remembers of words; others are hashed anew.
+KEPT_WORDS, KEPT_WORD = 50_000, 32
+#: Features that are scored together.
+TOGETHER = 100_000
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _DIGIT, _UPPER = re.compile(r"[0-9]"), re.compile(r"[^\W\d_a-z]")
 
@@ -50,10 +54,11 @@ class Featuriser:
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, word: str) -> tuple[int, int]:
-        if len(self.known) > 80_000:
-            self.known.clear()
-        shape = _shape(word[:64])
-        found = self.known[word] = (zlib.crc32(word.encode()) % BUCKETS, BUCKETS + zlib.crc32(shape.encode()) % SHAPES)
+        found = (zlib.crc32(word.encode()) % BUCKETS, BUCKETS + zlib.crc32(_shape(word).encode()) % SHAPES)
+        if len(word) <= KEPT_WORD:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,37 +82,67 @@ class Featuriser:
         return np.concatenate([index, bins]), np.concatenate([np.sqrt(value), np.full(len(bins), 0.5)])
 
 
-def margin(model: tuple[float, np.ndarray, np.ndarray], index: np.ndarray, value: np.ndarray) -> float:
-    w0, w, v = model
-    xv = v[index] * value[:, None]
-    return float(w0 + w[index] @ value + 0.5 * (np.square(xv.sum(0)).sum() - np.square(xv).sum()))
-
+Model = tuple[float, np.ndarray, np.ndarray]
+Features = tuple[np.ndarray, np.ndarray]
 
-def probability(model: tuple[float, np.ndarray, np.ndarray], index: np.ndarray, value: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-np.clip(margin(model, index, value), -30, 30))))
 
-
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on log loss, in a fixed order; without rows every score is one half."""
+def margins(model: Model, rows: list[Features]) -> np.ndarray:
+    """The rows' margins by the sum-of-squares identity, all at once; each row has features."""
+    w0, w, v = model
+    index, value = (np.concatenate(part) for part in zip(*rows))
+    starts = np.cumsum([0, *(len(i) for i, _ in rows[:-1])])
+    xv = v[index] * value[:, None]
+    squares = np.square(np.add.reduceat(xv, starts)).sum(1) - np.add.reduceat(np.square(xv).sum(1), starts)
+    return w0 + np.add.reduceat(w[index] * value, starts) + 0.5 * squares
+
+
+def probabilities(model: Model, rows: Iterable[Features]) -> list[float]:
+    """The rows' scores, made together for TOGETHER features at a time."""
+    out: list[float] = []
+    held: list[Features] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= TOGETHER:
+            out += (1 / (1 + np.exp(-np.clip(margins(model, held), -30, 30)))).tolist()
+            held, size = [], 0
+    return out + ((1 / (1 + np.exp(-np.clip(margins(model, held), -30, 30)))).tolist() if held else [])
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    """AdaGrad on log loss over batches of MINI rows, in a fixed order; without rows every score is one half."""
     rng = np.random.default_rng(SEED)
     w0, w, v = 0.0, np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, FACTORS))
     if not rows:
         return w0, w, v * 0
     g0, gw, gv = 1e-3, np.full(FEATURES, 1e-3), np.full((FEATURES, FACTORS), 1e-3)
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(rows)):
-            label, index, value = rows[k]
-            error = probability((w0, w, v), index, value) - label
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), MINI):
+            batch = [rows[k] for k in order[at : at + MINI]]
+            index, value = (np.concatenate(part) for part in ([r[1] for r in batch], [r[2] for r in batch]))
+            sizes = np.array([len(r[1]) for r in batch])
+            starts, owner = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(batch)), sizes)
             x = value[:, None]
-            d0, dw = error, error * value + DECAY * w[index]
             xv = v[index] * x
-            dv = error * x * (xv.sum(0) - xv) + DECAY * v[index]
+            sums = np.add.reduceat(xv, starts)
+            margin = w0 + np.add.reduceat(w[index] * value, starts) + 0.5 * (np.square(sums).sum(1) - np.add.reduceat(np.square(xv).sum(1), starts))
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - [r[0] for r in batch]
+            # Gradients of one feature are summed over the batch.
+            touched, place = np.unique(index, return_inverse=True)
+            by = np.argsort(place, kind="stable")
+            first = np.searchsorted(place[by], np.arange(len(touched)))
+            of = error[owner]
+            dw = np.add.reduceat((of * value)[by], first) + DECAY * w[touched]
+            dv = np.add.reduceat((of[:, None] * x * (sums[owner] - xv))[by], first) + DECAY * v[touched]
+            d0 = error.sum()
             g0 += d0 * d0
-            gw[index] += dw * dw
-            gv[index] += dv * dv
+            gw[touched] += dw * dw
+            gv[touched] += dv * dv
             w0 -= RATE * d0 / np.sqrt(g0)
-            w[index] -= RATE * dw / np.sqrt(gw[index])
-            v[index] -= RATE * dv / np.sqrt(gv[index])
+            w[touched] -= RATE * dw / np.sqrt(gw[touched])
+            v[touched] -= RATE * dv / np.sqrt(gv[touched])
     return w0, w, v
 
 
@@ -115,7 +150,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled ids that aren't held out, chosen by hash; features are made on the executors.
 
     Several labels of one id count as their mean; null labels and ids don't count.
@@ -129,40 +164,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
     # One row for each id: repeated documents don't count more.
     labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator) -> Iterator:
         make = Featuriser()
         for batch in batches:
-            made = [make(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "i": [m[0].astype("<i4").tobytes() for m in made], "x": [m[1].astype("<f4").tobytes() for m in made]})
+            made = [make(t) for t in batch.column("text").to_pylist()]
+            columns = {"i": pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), "x": pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label")} | columns)
 
-    found = labelled.mapInPandas(features, "doc_id long, label double, i binary, x binary").collect()
+    found = labelled.mapInArrow(features, "doc_id long, label double, i binary, x binary").collect()
     found.sort(key=lambda r: r["doc_id"])
     return fit([(r["label"], np.frombuffer(r["i"], "<i4").astype(int), np.frombuffer(r["x"], "<f4").astype(float)) for r in found])
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], name: str = "quality_score") -> DataFrame:
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """``docs`` with ``name`` (0 to 1). Null texts are scored as empty ones; a column of that name is replaced."""
     spark = session_of(docs)
     small_batches(spark)
     # A fixed number of weights, whatever the input's size.
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make, weights = Featuriser(), shared.value
         for batch in texts:
-            yield pd.Series([probability(weights, *make(t)) for t in batch], dtype=float)
-
-    return docs.withColumn(name, of(text_or_empty()))
+            yield pa.array(probabilities(weights, map(make, batch.to_pylist())), pa.float64())
+    return docs.withColumn(name, scores(text_or_empty()))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+    """doc_id, held_out, score and predicted for every document.
+
+    Defined cases: null texts are scored as empty ones; equal texts have equal
+    scores; a null id counts as an empty one in held_out; repeated rows are
+    scored alike; without usable labels every score is one half; an empty table
+    gives an empty result; other columns are neither read nor passed on.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
+    """``docs`` without those that the classifier rejects; columns, repeated rows and null texts stay as they are. An empty table stays empty."""
     return score(docs, train(docs, labels), "__ql_score").where(F.col("__ql_score") >= KEEP).select(*docs.columns)
