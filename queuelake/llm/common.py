@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches are kept small in rows, because single texts can be very long.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+from queuelake.plans.scratch import materialise as save
+
+#: Arrow batches are kept small, because a batch stands several times in the JVM's and in Python's memory.
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
+#: A key with more than this share of all rows is hot. There are fewer of them than its inverse, whatever the table's size, so what they carry can be broadcast.
+HOT_SHARE = 1e-5
+HOT_ROWS = 1000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -18,34 +20,11 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set (tests)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="queuelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: what was written survives the loss of executors.
-    The folder is removed when the application's JVM ends.
-    """
-    spark = session_of(df)
-    path = f"{shared_dir(spark)}/queuelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    """Bound the Arrow batches that go to Python workers by rows and by bytes. The session's bounds are lowered, never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -74,3 +53,22 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     row = F.col("__ql_row") - F.shiftleft(F.col("__ql_part").cast("long"), 33) + F.col("__ql_offset")
     # One row for each partition: its size does not grow with the data a partition holds.
     return placed.join(F.broadcast(table), "__ql_part").withColumn(name, row).drop("__ql_part", "__ql_row", "__ql_offset")
+
+
+def with_groups(rows: DataFrame, key: str, total: int, **aggregates: Column) -> DataFrame:
+    """``rows`` with aggregates over their groups of equal ``key`` (never null); ``total`` is the number of rows.
+
+    Each group's aggregates are made by partial aggregation and joined back.
+    Groups beyond HOT_SHARE of all rows are joined by broadcast, fewer than
+    1 / HOT_SHARE rows; so no task gets the rows of a hot group.
+    """
+    most = max(HOT_ROWS, int(total * HOT_SHARE))
+    groups = rows.groupBy(F.col(key).alias("__ql_key")).agg(F.count("*").alias("__ql_n"), *(c.alias(name) for name, c in aggregates.items()))
+    if total <= most:
+        return rows.join(groups.drop("__ql_n"), F.col(key) == F.col("__ql_key")).drop("__ql_key")
+    hot = groups.where(F.col("__ql_n") > most).drop("__ql_n")
+    others = groups.where(F.col("__ql_n") <= most).drop("__ql_n")
+    keys = hot.select(F.col("__ql_key").alias("__ql_hot"))
+    one = rows.join(F.broadcast(hot), F.col(key) == F.col("__ql_key"))
+    two = rows.join(F.broadcast(keys), F.col(key) == F.col("__ql_hot"), "left_anti").join(others, F.col(key) == F.col("__ql_key"))
+    return one.unionByName(two).drop("__ql_key")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelake.llm.common import save
+from queuelake.llm.common import save, with_groups
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v) with m: the least of u and its neighbours v. A hub's rows meet in no list; the join may be split where it is skewed."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("k")).drop("k")
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(u, v) with m: the least of u and its neighbours v. A hub's rows meet neither in a list nor in one task."""
+    return with_groups(edges, "u", total, m=F.min("v")).withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,18 +23,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     big, small = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = save(edges.where("a <> b").select(big, small).distinct())
-    state = None
-    while True:
+    state, n = None, now.count()
+    while n:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = _with_least(large)
+        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = _with_least(large, 2 * n)
         kept = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v")))
         now = save(kept.where("u <> v").distinct())
         # Equal counts and sums of hashes twice in a row: the edges have come to rest.
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break
-        state = after
+        state, n = after, after[0]
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(heads)

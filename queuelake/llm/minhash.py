@@ -1,18 +1,19 @@
-"""Near-duplicate documents by MinHash, verified in their order by banded alignment.
+"""Near-duplicate documents by Order MinHash, verified by banded alignment of the texts' words.
 
 Shingles are five words; the t-th occurrence of a shingle in a text is an
 element of its own. A sketch takes the ORDER elements with the least hashes
 under one of SKETCHES hash functions. Their order in the text is left to the
 alignment: where a text lacks an early occurrence, all later ones of that
-shingle stand elsewhere in the other text. Short texts have keys that no
-near-duplicate can miss (``prefixes``). Texts that
-share a sketch or a key form a bucket; equal buckets count once. Pairs of a bucket are
+shingle stand elsewhere in the other text. Short texts have keys that no text
+with 0.8 of their shingles can miss (``prefixes``). Texts that share a sketch or
+a key form a bucket; equal buckets count once. Pairs of a bucket are
 examined in tiles of one or two blocks of bounded size, without emitting them:
-common elements are counted as a matrix product, and what could reach the
+common words are counted as a matrix product, and what could reach the
 threshold is aligned. An alignment is a longest common subsequence of the
-shingles themselves, whichever occurrence they are, within the diagonal band
-that the threshold leaves; the similarity is its length over the number of
-shingles in either text less that length. Tiles
+words, within the diagonal band that the threshold leaves; the similarity is its
+length over the number of words in either text less that length, so that one
+changed word costs two words and not ten shingles. Whatever has 0.8 of its
+shingles in common, in order, has 0.8 of its words. Tiles
 emit a spanning forest of the links found, and components of these edges are
 the classes.
 
@@ -33,23 +34,28 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelake.llm.common import save, session_of, small_batches, text_or_empty
+from queuelake.llm.common import save, session_of, small_batches, text_or_empty, with_groups
 from queuelake.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: At the threshold a sketch is shared with a chance of 0.8**5 = 0.33, one of 32 with a chance over 0.99999.
-ORDER, SKETCHES, SEED = 5, 32, 97
+#: Of two texts with the share j of their shingles in common, j**ORDER is the chance that a sketch is shared. At 95 % equal words j is
+#: about 0.63, so that one of 32 is shared with a chance of 0.996; where j is 0.8, all but certainly.
+ORDER, SKETCHES, SEED = 4, 32, 97
 #: Texts of more elements have sketches; a near-duplicate of any other has at most 1 / THRESHOLD times as many. Elements in a key of the exact way.
 SHORT, TOGETHER = 16, 3
-#: Texts in a block; a tile holds one or two blocks.
-BLOCK, HEAD_PART = 256, 8
+#: Texts and words in a block, as far as texts aren't longer; a tile holds one or two blocks.
+BLOCK, BLOCK_WORDS, HEAD_PART = 256, 150_000, 8
 #: Shingles of a text that are aligned before the band's window moves.
 ROWS = 1024
-COLUMNS = 8192
+COLUMNS = 4096
+#: Words whose hashes a task remembers, and their greatest length.
+KEPT_WORDS, KEPT_WORD = 50_000, 32
+#: Hashes of elements that are compared at once.
+AT_ONCE = 1 << 17
 #: Up to so many text digests (16 bytes each) are broadcast; beyond, texts are found by a shuffle join.
 BROADCAST_DIGESTS = 400_000
 
@@ -60,8 +66,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Texts to shingle hashes; words' hashes are kept within a task."""
+class Hasher:
+    """Texts to their words' hashes and on to shingles' hashes; hashes of words are kept within a task."""
 
     def __init__(self) -> None:
         import xxhash
@@ -70,15 +76,20 @@ class Shingler:
         self.powers = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def _word(self, word: str) -> int:
-        if len(self.known) > 100_000:
-            self.known.clear()
-        found = self.known[word] = self.digest(word)
+        found = self.digest(word)
+        if len(word) <= KEPT_WORD:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = found
         return found
 
-    def __call__(self, text: str) -> np.ndarray:
-        """One 64-bit hash for each shingle, in text order, equal for equal shingles; a text of fewer words is one shingle, an empty one has none."""
+    def words(self, text: str) -> np.ndarray:
+        """One 64-bit hash for each word (what white space separates), in text order."""
         get, make = self.known.get, self._word
-        words = np.fromiter([get(w) or make(w) for w in text.split()], np.uint64)
+        return np.fromiter([get(w) or make(w) for w in text.split()], np.uint64)
+
+    def shingles(self, words: np.ndarray) -> np.ndarray:
+        """One hash for each shingle, equal for equal ones; a text of fewer words is one shingle, an empty one has none."""
         if not len(words):
             return words
         with np.errstate(over="ignore"):
@@ -115,16 +126,19 @@ def sketches(elements: np.ndarray) -> np.ndarray:
         if len(elements) <= ORDER:  # no text of so few elements but the empty one has sketches
             chosen = np.broadcast_to(np.sort(elements), (SKETCHES, len(elements)))
         else:
-            hashed = (elements[None, :] ^ adds[:, None]) * factors[:, None]
-            places = np.argpartition(hashed, ORDER - 1, axis=1)[:, :ORDER]
-            chosen = np.sort(elements[places], axis=1)
+            chosen = np.empty((SKETCHES, ORDER), np.uint64)
+            few = max(1, AT_ONCE // len(elements))  # functions at a time: a long text needs no more memory than itself some times
+            for k in range(0, SKETCHES, few):
+                hashed = (elements[None, :] ^ adds[k : k + few, None]) * factors[k : k + few, None]
+                places = np.argpartition(hashed, ORDER - 1, axis=1)[:, :ORDER]
+                chosen[k : k + few] = np.sort(elements[places], axis=1)
         for i in range(chosen.shape[1]):
             out = _mix(out + chosen[:, i])
     return out.view(np.int64)
 
 
 def prefixes(elements: np.ndarray) -> np.ndarray:
-    """Keys of a short text, of which it shares at least one with every text that reaches the threshold.
+    """Keys of a short text, of which it shares at least one with every text that reaches the threshold in its shingles.
 
     Such a text has at least o = THRESHOLD * n of the n elements. Of the common ones, the k least in any fixed
     order are among the n - o + k least of either text, and so every k of these make a key.
@@ -141,7 +155,7 @@ def prefixes(elements: np.ndarray) -> np.ndarray:
 
 
 def keys_of(elements: np.ndarray) -> np.ndarray:
-    """The keys of a text's buckets; of two near-duplicates, both have prefixes or both have sketches."""
+    """The keys of a text's buckets; of two texts that reach the threshold in their shingles, both have prefixes or both have sketches."""
     n = len(elements)
     parts = [prefixes(elements)] if 0 < n <= SHORT / THRESHOLD else []
     parts += [sketches(elements)] if n > SHORT or n == 0 else []
@@ -257,7 +271,7 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], shingles: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], words: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links in a tile: all pairs of one block, or the pairs across two. Texts of one component (``known``) are joined from the start."""
     first_of: dict[bytes, int] = {}
     parent = [first_of.setdefault(c, i) for i, c in enumerate(known)]
@@ -273,7 +287,7 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], shingl
     two = [i for i, b in enumerate(blocks) if b != first]
     inside = not two
     two = two or one
-    elements = [labelled(t) for t in shingles]
+    elements = [labelled(t) for t in words]
     common = _common([elements[i] for i in one], [elements[i] for i in two])
     n, m = (np.array([len(elements[i]) for i in part], np.float64) for part in (one, two))
     could = common >= np.ceil(THRESHOLD / (1 + THRESHOLD) * (n[:, None] + m[None, :]) - 1e-9)
@@ -283,7 +297,7 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], shingl
             continue
         i, j = one[x], two[y]
         a, b = root(i), root(j)
-        if a != b and linked(shingles[i], shingles[j]):
+        if a != b and linked(words[i], words[j]):
             parent[a] = b
             edges.append((nodes[i], nodes[j]))
     return edges
@@ -297,29 +311,39 @@ def digested(docs: DataFrame) -> DataFrame:
 def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
     """The edges (a, b) that the tiles (tile, node, block, known) find."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
-        tile, nodes, blocks, known, shingles, found = None, [], [], [], [], []
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        tile, nodes, blocks, known, words = None, [], [], [], []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            found = tile_edges(nodes, blocks, known, words) if len(nodes) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
+
         for batch in batches:
-            for t, node, block, component, text in zip(batch["tile"], batch["node"], batch["block"], batch["known"], batch["text"]):
+            for t, node, block, component, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "block", "known", "text"))):
                 if t != tile:
-                    found += tile_edges(nodes, blocks, known, shingles) if len(nodes) > 1 else []
-                    tile, nodes, blocks, known, shingles = t, [], [], [], []
+                    yield from edges()
+                    tile, nodes, blocks, known, words = t, [], [], [], []
                 nodes.append(node)
                 blocks.append(block)
                 known.append(component)
-                shingles.append(shingle(text))
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found = []
-        if len(nodes) > 1:
-            yield pd.DataFrame(tile_edges(nodes, blocks, known, shingles), columns=["a", "b"])
+                words.append(hasher.words(text))
+        yield from edges()
 
     needed = tiles.select("node").distinct()
     small = needed.count() <= BROADCAST_DIGESTS
     wanted = texts.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"])
-    rows = tiles.join(wanted, "node").repartition("tile").sortWithinPartitions("tile")
-    return save(rows.mapInPandas(compare, "a binary, b binary"))
+    rows = tiles.join(wanted, "node").select("tile", "node", "block", "known", "text").repartition("tile").sortWithinPartitions("tile")
+    return save(rows.mapInArrow(compare, "a binary, b binary"))
+
+
+def _blocks(texts: str | Column, words: str | Column) -> Column:
+    """Into how many blocks so many texts of so many words go."""
+    texts, words = (F.col(c) if isinstance(c, str) else c for c in (texts, words))
+    return F.ceil(F.greatest(texts / BLOCK, words / BLOCK_WORDS, F.lit(1))).cast("long")
 
 
 def _first_tiles(inside: DataFrame) -> DataFrame:
@@ -333,14 +357,15 @@ def _first_tiles(inside: DataFrame) -> DataFrame:
 def _second_tiles(inside: DataFrame, found: DataFrame) -> DataFrame:
     """Of buckets with more than one block and several components: all pairs of blocks but those of one component."""
     found = found.withColumnRenamed("node", "__n")
-    members = inside.where("blocks > 1").join(found, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("component", "node").alias("known"))
+    members = inside.where("blocks > 1").join(found, F.col("node") == F.col("__n"), "left").select("key", "node", "words", F.coalesce("component", "node").alias("known"))
     members = save(members)
     mixed = members.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("key")
-    sizes = members.join(mixed, "key", "left_semi").groupBy("key", "known").agg(F.count("*").alias("c"))
+    sizes = members.join(mixed, "key", "left_semi").groupBy("key", "known").agg(F.count("*").alias("c"), F.sum("words").alias("w"))
     # Components that fill a block have blocks of their own; the others share blocks.
-    sizes = sizes.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("known")).otherwise(F.lit(b"")))
-    totals = sizes.groupBy("key", "own").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks"))
-    sizes = sizes.join(totals, ["key", "own"]).select("key", "known", "own", "blocks")
+    sizes = sizes.withColumn("own", F.when(_blocks("c", "w") > 1, F.col("known")).otherwise(F.lit(b"")))
+    totals = sizes.groupBy("key", "own").agg(_blocks(F.sum("c"), F.sum("w")).alias("blocks"))
+    # Saved, so that the join below has a plain shuffle on either side, which can be split where a key is hot.
+    sizes = save(sizes.join(totals, ["key", "own"]).select("key", "known", "own", "blocks"))
     placed = save(members.join(sizes, ["key", "known"]).withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("node"), "blocks"))))
     blocks = placed.select("key", "own", "block").distinct()
     other = blocks.select("key", F.col("own").alias("own2"), F.col("block").alias("block2"))
@@ -356,17 +381,21 @@ def classes(docs: DataFrame) -> DataFrame:
     small_batches(session_of(docs))
     texts = digested(docs.select("text")).select(F.col("__ql_node").alias("node"), text_or_empty().alias("text"))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "keys": [keys_of(labelled(shingle(t))) for t in batch["text"]]})
-
-    sketched = save(texts.mapInPandas(sketch, "node binary, keys array<long>"))
-    members = save(sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("n > 1")
+            words = [hasher.words(t) for t in batch.column("text").to_pylist()]
+            keys = [keys_of(labelled(hasher.shingles(w))) for w in words]
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "words": pa.array(map(len, words), pa.int64()), "keys": lists})
+
+    sketched = save(texts.mapInArrow(sketch, "node binary, words long, keys array<long>"))
+    members = save(sketched.dropDuplicates(["node"]).select("node", "words", F.explode("keys").alias("key")))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("n > 1")
     # Buckets with the same members are one.
-    buckets = save(buckets.groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n"))
-    inside = save(members.join(buckets, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    buckets = save(buckets.groupBy("n", "w", "set").agg(F.min("key").alias("key")).select("key", "n", "w"))
+    inside = save(members.join(buckets, "key").select("key", "node", "words", _blocks("n", "w").alias("blocks")))
     edges = _compared(_first_tiles(inside), texts)
     found = save(components(edges))
     if inside.where("blocks > 1").isEmpty():
@@ -380,21 +409,24 @@ def mark(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id (the class's least doc_id) and kept for each row of ``docs``.
 
     Defined cases: equal texts, and so all empty and null ones, are one class;
-    texts of under five words link with equal texts only; null ids are
+    texts of under five words link with those of the same words only; null ids are
     never a class's id unless it has no other; of a class, the least id with
     the least digest is kept, and rows that repeat both are one document.
     """
     rows = save(digested(docs.select("doc_id", "text")).select("doc_id", "__ql_node"))
     found = classes(docs).withColumnRenamed("node", "__ql_n")
     placed = save(rows.join(found, F.col("__ql_node") == F.col("__ql_n"), "left").select("doc_id", F.col("__ql_node").alias("node"), F.coalesce("component", "__ql_node").alias("component")))
-    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")).alias("first"))
-    first = first.select(F.col("component").alias("__ql_c"), F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("__ql_first"))
-    joined = placed.join(first, F.col("component") == F.col("__ql_c"))
-    return joined.select("doc_id", "node", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("__ql_first"))).alias("kept"))
+    joined = with_groups(placed, "component", placed.count(), first=F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return joined.select("doc_id", "node", F.col("first.doc_id").alias("class_id"), kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates."""
+    """``docs`` with one document of each class of near-duplicates, the one that ``mark`` keeps.
+
+    Rows that repeat its id and text are one document. Columns stay as they
+    are, whatever their names; an empty table stays empty.
+    """
     marked = save(mark(docs).where("kept").groupBy("doc_id", "node").agg(F.count("*").alias("n")))
     kept = marked.select(F.col("doc_id").alias("__ql_id"), F.col("node").alias("__ql_kept"))
     rows = digested(docs)
