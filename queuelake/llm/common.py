@@ -10,9 +10,6 @@ from queuelake.plans.scratch import materialise as save
 #: Arrow batches are kept small, because a batch stands several times in the JVM's and in Python's memory.
 BATCH_ROWS = 500
 BATCH_BYTES = 4 << 20
-#: A key with more than this share of all rows is hot. There are fewer of them than its inverse, whatever the table's size, so what they carry can be broadcast.
-HOT_SHARE = 1e-5
-HOT_ROWS = 1000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -55,20 +52,13 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(table), "__ql_part").withColumn(name, row).drop("__ql_part", "__ql_row", "__ql_offset")
 
 
-def with_groups(rows: DataFrame, key: str, total: int, **aggregates: Column) -> DataFrame:
-    """``rows`` with aggregates over their groups of equal ``key`` (never null); ``total`` is the number of rows.
+def with_groups(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """``rows`` with aggregates over their groups of equal ``key`` (never null).
 
-    Each group's aggregates are made by partial aggregation and joined back.
-    Groups beyond HOT_SHARE of all rows are joined by broadcast, fewer than
-    1 / HOT_SHARE rows; so no task gets the rows of a hot group.
+    The aggregates are made by partial aggregation and written first. So the
+    join back has a plain shuffle on either side, and adaptive execution can
+    split the partition that holds a hot group; over an aggregation in the same
+    stage it couldn't.
     """
-    most = max(HOT_ROWS, int(total * HOT_SHARE))
-    groups = rows.groupBy(F.col(key).alias("__ql_key")).agg(F.count("*").alias("__ql_n"), *(c.alias(name) for name, c in aggregates.items()))
-    if total <= most:
-        return rows.join(groups.drop("__ql_n"), F.col(key) == F.col("__ql_key")).drop("__ql_key")
-    hot = groups.where(F.col("__ql_n") > most).drop("__ql_n")
-    others = groups.where(F.col("__ql_n") <= most).drop("__ql_n")
-    keys = hot.select(F.col("__ql_key").alias("__ql_hot"))
-    one = rows.join(F.broadcast(hot), F.col(key) == F.col("__ql_key"))
-    two = rows.join(F.broadcast(keys), F.col(key) == F.col("__ql_hot"), "left_anti").join(others, F.col(key) == F.col("__ql_key"))
-    return one.unionByName(two).drop("__ql_key")
+    groups = save(rows.groupBy(F.col(key).alias("__ql_key")).agg(*(c.alias(name) for name, c in aggregates.items())))
+    return rows.join(groups, F.col(key) == F.col("__ql_key")).drop("__ql_key")

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from queuelake.llm.common import save, with_groups
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """(u, v) with m: the least of u and its neighbours v. A hub's rows meet neither in a list nor in one task."""
-    return with_groups(edges, "u", total, m=F.min("v")).withColumn("m", F.least("u", "m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v) with m: the least of u and its neighbours v. A hub's rows meet in no list, and the join may be split where they are many."""
+    return with_groups(edges, "u", m=F.min("v")).select("u", "v", F.least("u", "m").alias("m"))
+
+
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each of ``pairs`` of columns of a row, without loops."""
+    each = F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))).alias("e")
+    return edges.select(each).select("e.u", "e.v").where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,23 +24,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round rewrites the edges twice, so that nodes point ever more directly
     at their component's least node; the number of rounds follows the logarithm
-    of the components' diameters. Each round's edges are written to the shared
+    of the components' diameters. Each step's edges are written to the shared
     folder. Self-loops and repeated edges do no harm.
     """
     big, small = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = save(edges.where("a <> b").select(big, small).distinct())
-    state, n = None, now.count()
-    while n:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = _with_least(large, 2 * n)
-        kept = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v")))
-        now = save(kept.where("u <> v").distinct())
+    state = None
+    while True:
+        large = _with_least(_pairs(now, ("u", "v"), ("v", "u"))).where("v > u")
+        large = save(_pairs(large, ("v", "m")).distinct())
+        now = save(_pairs(_with_least(large), ("v", "m"), ("u", "m")).distinct())
         # Equal counts and sums of hashes twice in a row: the edges have come to rest.
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == state:
+        if after == state or not after[0]:
             break
-        state, n = after, after[0]
+        state = after
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(heads)

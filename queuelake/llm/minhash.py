@@ -57,7 +57,7 @@ KEPT_WORDS, KEPT_WORD = 50_000, 32
 #: Hashes of elements that are compared at once.
 AT_ONCE = 1 << 17
 #: Up to so many text digests (16 bytes each) are broadcast; beyond, texts are found by a shuffle join.
-BROADCAST_DIGESTS = 400_000
+BROADCAST_DIGESTS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -416,7 +416,7 @@ def mark(docs: DataFrame) -> DataFrame:
     rows = save(digested(docs.select("doc_id", "text")).select("doc_id", "__ql_node"))
     found = classes(docs).withColumnRenamed("node", "__ql_n")
     placed = save(rows.join(found, F.col("__ql_node") == F.col("__ql_n"), "left").select("doc_id", F.col("__ql_node").alias("node"), F.coalesce("component", "__ql_node").alias("component")))
-    joined = with_groups(placed, "component", placed.count(), first=F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")))
+    joined = with_groups(placed, "component", first=F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
     return joined.select("doc_id", "node", F.col("first.doc_id").alias("class_id"), kept.alias("kept"))
 

@@ -704,14 +704,24 @@ def test_long_texts_take_memory_in_proportion():
     assert peak < 12 * words.nbytes and len(keys) == minhash.SKETCHES
 
 
-def test_hot_groups_are_joined_by_broadcast(spark, monkeypatch):
-    from queuelake.llm import common
-
-    monkeypatch.setattr(common, "HOT_ROWS", 20)
-    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long")
-    got = common.with_groups(rows, "k", 300, least=F.min("v"), n=F.count("*"))
-    assert got.columns == ["k", "v", "least", "n"]
-    assert sorted(map(tuple, got.collect())) == sorted((1, i, 1, 200) if i % 3 else (i, i, i, 1) for i in range(300))
+def test_hot_groups_are_split(spark):
+    from queuelake.llm.common import with_groups
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(9000)], "k long, v long").repartition(12)
+        got = with_groups(rows, "k", least=F.min("v"), n=F.count("*"))
+        assert got.columns == ["k", "v", "least", "n"]
+        assert sorted(map(tuple, got.collect())) == sorted((1, i, 1, 6000) if i % 3 else (i, i, i, 1) for i in range(9000))
+        assert "isSkewJoin=true" in got._jdf.queryExecution().executedPlan().toString() or "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
     edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 400)]
     assert Counter(r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()) == {0: 200, 300: 101}
 
