@@ -56,8 +56,8 @@ COLUMNS = 4096
 KEPT_WORDS, KEPT_WORD = 50_000, 32
 #: Hashes of elements that are compared at once.
 AT_ONCE = 1 << 17
-#: Up to so many text digests (16 bytes each) are broadcast; beyond, texts are found by a shuffle join.
-BROADCAST_DIGESTS = 200_000
+#: Up to so many text digests (16 bytes each) or buckets (24 bytes) are broadcast; beyond, a shuffle join finds the same rows.
+BROADCAST_ROWS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -334,7 +334,7 @@ def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
         yield from edges()
 
     needed = tiles.select("node").distinct()
-    small = needed.count() <= BROADCAST_DIGESTS
+    small = needed.count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"])
     rows = tiles.join(wanted, "node").select("tile", "node", "block", "known", "text").repartition("tile").sortWithinPartitions("tile")
     return save(rows.mapInArrow(compare, "a binary, b binary"))
@@ -395,7 +395,8 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("n > 1")
     # Buckets with the same members are one.
     buckets = save(buckets.groupBy("n", "w", "set").agg(F.min("key").alias("key")).select("key", "n", "w"))
-    inside = save(members.join(buckets, "key").select("key", "node", "words", _blocks("n", "w").alias("blocks")))
+    shared = F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets
+    inside = save(members.join(shared, "key").select("key", "node", "words", _blocks("n", "w").alias("blocks")))
     edges = _compared(_first_tiles(inside), texts)
     found = save(components(edges))
     if inside.where("blocks > 1").isEmpty():
