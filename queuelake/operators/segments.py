@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelake.operators.reads import id_range
 
 
-def build_index(entries: DataFrame) -> DataFrame:
-    """A row for each (queue, file_id) of ``entries`` (with length): first_id, last_id, num_entries, entries_before, bytes."""
+def build_index(entries: DataFrame, *more: Column) -> DataFrame:
+    """A row for each (queue, file_id) of ``entries`` (with length): first_id, last_id, num_entries, entries_before, bytes, and ``more`` aggregates."""
     return entries.groupBy("queue", "file_id").agg(
-        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").cast("long").alias("num_entries"), F.min("id").alias("entries_before"), F.sum("length").cast("long").alias("bytes")
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").cast("long").alias("num_entries"), F.min("id").alias("entries_before"), F.sum("length").cast("long").alias("bytes"), *more
     )
 
 

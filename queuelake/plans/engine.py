@@ -8,6 +8,7 @@ segment and the part of it in memory that single writes have put there.
 
 from __future__ import annotations
 
+import os
 import threading
 import time
 from collections.abc import Iterable
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queuelake.functions.crypto import Identity
+from queuelake.functions.crypto import SEED_FILE, SEED_SIZE, Identity
 from queuelake.functions.naming import resolve_name
+from queuelake.functions.uintn import width
 from queuelake.model import DEFAULT_DATA_SIZE, DEFAULT_ID_SIZE, Absolute, InvalidRequest, QueueEmpty, QueueError, QueueNotFound, ShiftFromTail
 from queuelake.operators import append, recovery, segments, tiers
 from queuelake.operators.reads import Position, read_queue
 from queuelake.plans.scratch import materialise
 from queuelake.plans.settings import Settings
+from queuelake.sources.objects import ObjectStore
 from queuelake.streaming.follow import Callback, Subscription, follow
 
 ROWS = T.StructType([T.StructField("queue", T.StringType()), T.StructField("file_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("length", T.LongType())])
@@ -51,9 +54,9 @@ class _Queue:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, seed: bytes | None = None) -> None:
-        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
-        self.identity = Identity(seed) if seed else Identity.open(self.root.removeprefix("file:"))
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, seed: bytes | None = None, read_only: bool = False) -> None:
+        self.spark, self.root, self.settings, self.read_only = spark, root.rstrip("/"), settings or Settings(), read_only
+        self.identity = Identity(seed or self._seed())
         self._queues: dict[str, _Queue] = {}
         self._lock = threading.Lock()
         self._subscriptions: list[Subscription] = []
@@ -62,6 +65,15 @@ class Engine:
 
     # Identity and clock
 
+    def _seed(self) -> bytes:
+        """The seed kept under the root, on whatever file system that is; the first to come makes it, readable by its owner alone."""
+        store = ObjectStore(self.spark, self.root)
+        found = store.get(SEED_FILE)
+        if found is None:
+            store.create(SEED_FILE, os.urandom(SEED_SIZE), private=True)
+            found = store.get(SEED_FILE)
+        return found
+
     @property
     def instance_id(self) -> str:
         return self.identity.instance_id
@@ -97,7 +109,12 @@ class Engine:
             return self.spark.createDataFrame([], ROWS)
         return self.spark.read.schema(ROWS).parquet(path)
 
+    def _writable(self) -> None:
+        if self.read_only:
+            raise InvalidRequest("the engine was opened for reading")
+
     def _write(self, rows: DataFrame, tier: str) -> None:
+        self._writable()
         rows.write.mode("append").partitionBy("queue", "file_id").option("compression", "zstd").parquet(self.path(tier))
 
     def _tiers(self) -> list[tuple[str, str]]:
@@ -105,7 +122,9 @@ class Engine:
 
     def index(self) -> DataFrame:
         """A row for each (queue, file_id, source): the id column and lengths are read, payloads aren't."""
-        parts = [segments.build_index(self.table(t).drop("data")).withColumn("source", F.lit(s)) for t, s in self._tiers()]
+        # The widths a file's header needs: those of its greatest id and length, the default ones at least.
+        sizes = (F.greatest(F.lit(DEFAULT_ID_SIZE), width(F.max("id"))).cast("int").alias("id_size"), F.greatest(F.lit(DEFAULT_DATA_SIZE), width(F.max("length"))).cast("int").alias("data_size"))
+        parts = [segments.build_index(self.table(t).drop("data"), *sizes).withColumn("source", F.lit(s)) for t, s in self._tiers()]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -147,10 +166,9 @@ class Engine:
         """Open a queue where its files end."""
         with self._lock:
             if queue not in self._queues:
-                index = self.index().where(F.col("queue") == queue).withColumns({"id_size": F.lit(DEFAULT_ID_SIZE), "data_size": F.lit(DEFAULT_DATA_SIZE)})
-                found = recovery.recover(index).first()
-                next_file, next_id = (found["next_file"], found["next_id"]) if found else (1, 0)
-                fold = append._Fold(queue, next_file, self.settings.max_file_size, DEFAULT_ID_SIZE, DEFAULT_DATA_SIZE)
+                found = recovery.recover(self.index().where(F.col("queue") == queue)).first()
+                next_file, next_id, id_size, data_size = (found["next_file"], found["next_id"], found["id_size"], found["data_size"]) if found else (1, 0, DEFAULT_ID_SIZE, DEFAULT_DATA_SIZE)
+                fold = append._Fold(queue, next_file, self.settings.max_file_size, id_size, data_size)
                 self._queues[queue] = _Queue(fold, next_id, append.memory_budget(self.settings.max_memory, len(self._queues)))
             return self._queues[queue]
 
@@ -208,8 +226,8 @@ class Engine:
         Queue names are absolute here. Ids and lengths are folded into segments; payloads are dealt to their segments by a range join.
         """
         rows = batch.withColumn("length", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long"))
-        index = self.index().withColumns({"id_size": F.lit(DEFAULT_ID_SIZE), "data_size": F.lit(DEFAULT_DATA_SIZE)})
-        known = materialise(recovery.recover(index))
+        self._writable()
+        known = materialise(recovery.recover(self.index()))
         last = known.where("last_id IS NOT NULL").select("queue", "last_id")
         numbered = materialise(append.assign_ids(rows, order, last))
         folded = append.rotate(numbered.select("queue", "id", "length"), self.settings.max_file_size)
@@ -221,14 +239,26 @@ class Engine:
         return numbered.select("queue", "id")
 
     def append_stream(self, stream: DataFrame, order: list[str], checkpoint: str, trigger: dict | None = None):
-        """Append each micro-batch; one that was appended before a failure is known by its marker and passed over."""
+        """Append each micro-batch once, also after a failure; the stream is the only writer of its queues.
+
+        A batch leaves two marks: before it is appended, how many ids had been
+        given; after it, that it is there. An append is one commit. So a batch
+        that has the first mark alone was appended if ids have been given since.
+        """
+
+        def given() -> int:
+            return recovery.recover(self.index()).agg(F.coalesce(F.sum("next_id"), F.lit(0)).cast("long")).first()[0]
 
         def put(batch: DataFrame, number: int) -> None:
-            marker, fs = self._path_object(f"{checkpoint}/appended/{number}")
-            if fs.exists(marker) or batch.isEmpty():
+            marks = ObjectStore(self.spark, f"{checkpoint}/appended")
+            if marks.head(f"{number}.done") is not None or batch.isEmpty():
                 return
-            self.append(batch, order)
-            fs.create(marker, True).close()
+            begun = marks.get(f"{number}.begun")
+            if begun is None:
+                marks.put(f"{number}.begun", str(given()).encode())
+            if begun is None or given() == int(begun):
+                self.append(batch, order)
+            marks.put(f"{number}.done", b"")
 
         return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -243,7 +273,10 @@ class Engine:
         return tiers.memory_first(disk, memory, state.memory[0][0])
 
     def read(self, queue: str, position: Position, limit: int, step: int = 1) -> DataFrame:
-        """A bounded read (queue, id, data, source) in id order; an unknown queue is opened and empty."""
+        """A bounded read (queue, id, data, source) in id order; an unknown queue is opened and empty.
+
+        The window's rows, no more than ``limit``, are sorted; plans that don't need an order use ``operators.reads``.
+        """
         if limit <= 0:
             raise InvalidRequest("a read without limit is a follow")
         queue = self.resolve(queue)
@@ -280,12 +313,14 @@ class Engine:
     # Upkeep
 
     def _remove(self, tier: str, queue: str, file_id: int) -> None:
+        self._writable()
         target, fs = self._path_object(self.path(tier))
         name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(queue)
         fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"queue={name}/file_id={file_id}"), True)
 
     def compact(self, queue: str) -> list[int]:
         """Move a queue's closed WAL files to the store, each rewritten in id order; the open one stays."""
+        self._writable()
         queue = self.resolve(queue)
         current = self._queues[queue].fold.file_id if queue in self._queues else None
         wal = self.table("wal").where(F.col("queue") == queue)

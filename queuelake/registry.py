@@ -7,6 +7,8 @@ queue for each event type, ``conversations`` as many small queues, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from queuelake.functions import naming, uintn
 from queuelake.functions.crypto import Identity
 from queuelake.model import Absolute, ShiftFromTail
 from queuelake.operators import append, reads, recovery, segments, tiers
+from queuelake.plans.engine import Engine
 from queuelake.plans.scratch import materialise, shared_dir
+from queuelake.plans.settings import CloudSettings, Settings
 from queuelake.sources import store, wal
 from queuelake.streaming import follow as streams
 
@@ -415,6 +419,75 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.decode(store.extract(files, identity)).select("queue", "id", F.md5("data").alias("digest"))
 
 
+_CROPPED = f"""WITH {E}, {SEG}, {INDEX}, c AS (SELECT *, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END AS cut FROM i)"""
+
+
+def _wal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as WAL files of SEGMENT_ROWS entries; of every second file the last byte is lost, and so its last entry."""
+    files = wal.encode(_segmented(spark, sf_dir).withColumn("data", F.col("props").cast("binary")))
+    cropped = F.expr("substring(content, 1, length(content) - 1)")
+    return materialise(files.withColumn("content", F.when(F.col("file_id") % 2 == 0, cropped).otherwise(F.col("content"))))
+
+
+@query(f"""{_CROPPED} SELECT queue, file_id, entries_before, num_entries - cut AS num_entries, CASE WHEN num_entries > cut THEN first_id END AS first_id, CASE WHEN num_entries > cut THEN last_id - cut END AS last_id,
+CASE WHEN num_entries > cut THEN 'VALID' ELSE 'HEADER_ONLY' END AS state FROM c""")
+def wal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that is read from WAL files, some of them cropped."""
+    return wal.index(_wal_files(spark, sf_dir)).select("queue", "file_id", "entries_before", "num_entries", "first_id", "last_id", "state")
+
+
+@query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, entries_before, 4 AS id_size, 8 AS data_size FROM i")
+def wal_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wal.headers(_wal_files(spark, sf_dir)).select("queue", "file_id", "entries_before", "id_size", "data_size")
+
+
+@query(f"{_CROPPED} SELECT s.queue, s.id, md5(s.props) AS digest FROM s JOIN c USING (queue, file_id) WHERE s.id BETWEEN 40 AND 1900 AND (s.id - 40) % 7 = 0 AND s.id <= c.last_id - c.cut")
+def wal_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id range and step over WAL files, valid prefixes alone."""
+    return wal.read_range(_wal_files(spark, sf_dir), 40, 1900, 7).select("queue", "id", F.md5("data").alias("digest"))
+
+
+@query(f"""WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, CASE WHEN file_id <= 2 THEN 0 ELSE first_id END AS first_id, last_id, CASE WHEN file_id >= 2 THEN entries_before ELSE entries_before + 5 END AS entries_before, num_entries FROM i""")
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and headers of the same files in two tiers: the store has files 1 and 2 with other marks, the WAL those from 2 on."""
+    index = _index(spark, sf_dir)
+    stored = index.where("file_id <= 2").withColumns({"tier": F.lit("STORE"), "entries_before": F.col("entries_before") + 5, "first_id": F.lit(0).cast("long")})
+    found = segments.merged_index(index.where("file_id >= 2").withColumn("tier", F.lit("WAL")).unionByName(stored))
+    return found.select("queue", "file_id", "first_id", "last_id", "entries_before", "num_entries")
+
+
+@query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, max(file_id) AS file_id FROM i WHERE file_id % 2 = 1 AND file_id <= 6 GROUP BY queue")
+def last_valid_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last file up to the sixth that has entries; every second file has none."""
+    index = _index(spark, sf_dir)
+    return segments.last_valid_file(index.withColumn("num_entries", F.when(F.col("file_id") % 2 == 0, 0).otherwise(F.col("num_entries"))), 6)
+
+
+@query("WITH a AS (SELECT event_id AS id FROM events WHERE event_id <> 700) SELECT id, CAST(1 AS BIGINT) AS times FROM a WHERE id BETWEEN 20 AND 699")
+def late_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release from id 20 of arrivals that come twice, earlier ones too, with one that never comes."""
+    ids = _one_queue(spark, sf_dir).select("id").where("id <> 700")
+    return append.ordered_release(ids.unionByName(ids), 20).groupBy("id").agg(F.count("*").alias("times"))
+
+
+@query("SELECT queue, max(id) AS acked_id FROM (SELECT '/inst/events/' || event_type AS queue, event_id AS id FROM events) GROUP BY queue")
+def acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a committed batch makes durable of each queue."""
+    events = _table(spark, sf_dir, "events")
+    return streams.ack_watermark(events.select(F.concat(F.lit("/inst/events/"), "event_type").alias("queue"), F.col("event_id").alias("id")))
+
+
+@query("""WITH x AS (SELECT event_id, event_id * 5000011 AS a FROM events)
+SELECT event_id, greatest(a, 1) - 1 AS less, a = 0 AS is_zero, a < 4294967296 AS fits, a + 7 AS stepped, CASE WHEN event_id % 3 = 0 THEN NULL ELSE a END AS parsed, a % 4294967296 AS checked, CAST(a AS VARCHAR) AS shown, event_id IN (1, 2, 4, 8, 16) AS valid FROM x""")
+def uintn_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("event_id") * 5000011
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(a.cast("string"), F.lit("x"))).otherwise(a.cast("string"))
+    return _table(spark, sf_dir, "events").select(
+        "event_id", uintn.decrement(F.greatest(a, F.lit(1))).alias("less"), uintn.is_zero(a).alias("is_zero"), uintn.can_fit(a, 4).alias("fits"), uintn.step_by(a, 7).alias("stepped"), uintn.parse_decimal(text).alias("parsed"),
+        uintn.checked(a % 4294967296, 4).alias("checked"), uintn.display(a).alias("shown"), uintn.is_valid_size(F.col("event_id")).alias("valid"),
+    )
+
+
 # Streams
 
 
@@ -436,13 +509,37 @@ def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, rows.where(uintn.in_step(F.col("id"), 40, 9)))
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Run ``stream`` over what there is into a table in the shared folder."""
-    import uuid
+@query("SELECT event_id AS id, md5(props) AS digest FROM events WHERE event_id >= 40 AND (event_id - 40) % 9 = 0")
+def engine_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A follow by the engine over a queue whose entries are in the cloud, the store and the WAL, and that grows while it is followed."""
+    base = _scratch(spark)
+    engine = Engine(spark, f"{base}/data", Settings(max_file_size=1 << 16, cloud=CloudSettings(f"{base}/cloud")), seed=SEED)
+    events = _table(spark, sf_dir, "events").select(F.lit("/inst/events").alias("queue"), "event_id", F.col("props").cast("binary").alias("data"))
+    engine.append(events.where("event_id < 300"), ["event_id"])
+    engine.compact("/inst/events")
+    engine.offload()
+    engine.append(events.where("event_id BETWEEN 300 AND 599"), ["event_id"])
+
+    def deliver(batch: DataFrame) -> None:
+        batch.select("id", F.md5("data").alias("digest")).write.mode("append").parquet(f"{base}/delivered")
+
+    following = engine.follow("/inst/events", deliver, Absolute(40), 9, checkpoint=f"{base}/state")
+    engine.append(events.where("event_id >= 600"), ["event_id"])
+    following.query.processAllAvailable()
+    engine.close()
+    return spark.read.schema("id long, digest string").parquet(f"{base}/delivered")
+
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder of the shared one that goes when the application ends."""
     base = f"{shared_dir(spark)}/queuelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start(base).awaitTermination()
-    for path in (base, f"{base}-state"):
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(stream.schema).parquet(base)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return base
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run ``stream`` over what there is into a table in the shared folder."""
+    base = _scratch(spark)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")

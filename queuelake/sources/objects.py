@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +36,24 @@ class ObjectStore:
         fs.delete(path, False)
         fs.rename(part, path)
 
+    def create(self, key: str, data: bytes, private: bool = False) -> bool:
+        """Put an object unless there is one already; whether it was made. ``private``: for its owner alone, where the store knows owners."""
+        path, jvm = self._path(key), self.spark.sparkContext._jvm
+        fs = self._fs(path)
+        if fs.exists(path):
+            return False
+        part = path.suffix(f".{uuid.uuid4().hex}.tmp")
+        out = fs.create(part, False)
+        try:
+            if private:
+                fs.setPermission(part, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        made = not fs.exists(path) and fs.rename(part, path)
+        fs.delete(part, False)
+        return bool(made)
+
     def head(self, key: str) -> int | None:
         """The object's size; None where there is none or it may not be seen."""
         path = self._path(key)

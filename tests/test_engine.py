@@ -90,6 +90,44 @@ def test_append_of_data_frames(spark, engine):
     assert index.where("last_id - first_id + 1 <> num_entries").count() == 0 and index.count() > 6
 
 
+def test_a_stream_appends_once_after_a_crash(spark, engine, tmp_path, monkeypatch):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    batch = spark.range(30).select(F.lit("/i/s").alias("queue"), F.col("id").alias("seq"), F.col("id").cast("string").cast("binary").alias("data"))
+    batch.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(batch.schema).parquet(source)
+    from queuelake.sources.objects import ObjectStore
+
+    put = ObjectStore.put
+
+    def crash(self, key, data):
+        if key.endswith(".done"):
+            raise RuntimeError("crash")
+        put(self, key, data)
+
+    monkeypatch.setattr(ObjectStore, "put", crash)
+    with pytest.raises(Exception, match="crash"):
+        engine.append_stream(stream, ["seq"], checkpoint).awaitTermination()
+    assert engine.read("/i/s", Absolute(0), 100).count() == 30
+    monkeypatch.setattr(ObjectStore, "put", put)
+    engine.append_stream(stream, ["seq"], checkpoint).awaitTermination()
+    assert rows(engine.read("/i/s", Absolute(0), 100)) == [(i, str(i).encode()) for i in range(30)]
+
+
+def test_reopened_engines_know_widths_identity_and_reading_alone(spark, tmp_path):
+    root = f"file:{tmp_path}/data"
+    engine = Engine(spark, root, Settings(max_file_size=10_000))
+    engine.write("q", [b"a"])
+    queue = engine.resolve("q")
+    spark.createDataFrame([(queue, 5, 1 << 33, bytearray(b"b"), 1)], "queue string, file_id long, id long, data binary, length long").transform(lambda df: engine._write(df, "wal") or df)
+    again = Engine(spark, root, read_only=True)
+    assert again.instance_id == engine.instance_id and (tmp_path / "data").exists()
+    state = again.start_queue(queue)
+    assert (state.next_id, state.fold.id_size, state.fold.data_size, state.fold.file_id) == ((1 << 33) + 1, 8, 8, 6)
+    assert again.write("q", [b"x"]).status == "SERVER_ERROR" and again.read("q", Absolute(0), 10).count() == 1
+    with pytest.raises(InvalidRequest):
+        again.compact("q")
+
+
 def test_follow_replays_then_goes_live(spark, engine, tmp_path):
     engine.write("q", [f"e{i}".encode() for i in range(5)])
     got = []
