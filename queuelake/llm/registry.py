@@ -110,6 +110,40 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+#: One step of SQL's splitmix64 finaliser over column ``x`` of ``table``: unsigned 64-bit products, by way of 128 bits.
+_STEP = "SELECT * REPLACE (CAST(CAST(xor(x, x >> {shift}) AS UHUGEINT) * {factor} % 18446744073709551616 AS UBIGINT) AS x) FROM ({table})"
+
+
+def _mixed_sql(table: str) -> str:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        table = _STEP.format(shift=shift, factor=factor, table=table)
+    return f"SELECT * REPLACE (xor(x, x >> 31) AS x) FROM ({table})"
+
+
+def _nibble(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+#: CRC-32 by half bytes, the low one first; then a row of ``s`` for each round of each row's walk, until a sixth round ends below n.
+OP10_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), '.'), lambda d: CAST(instr('0123456789ABCDEF', d) - 1 AS BIGINT))) AS digits FROM documents),
+c AS (SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(digits, lambda a, d: xor(a >> 4, {[_nibble(i) for i in range(16)]}[(xor(a, d) & 15) + 1]))) AS crc FROM t),
+d AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id NULLS LAST, crc, size) - 1 AS UBIGINT) AS r FROM c),
+w AS (SELECT CAST(count(*) AS UBIGINT) AS n, greatest(2, length(bin(greatest(count(*), 1) - 1))) AS bits FROM d),
+p AS (SELECT n, CAST(bits // 2 AS UBIGINT) AS lb, CAST((1::BIGINT << (bits // 2)) - 1 AS UBIGINT) AS lm, CAST((1::BIGINT << (bits - bits // 2)) - 1 AS UBIGINT) AS hm FROM w),
+k AS ({_mixed_sql(f"SELECT CAST(i AS INT) AS i, CAST((CAST(i + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15} + {sharding.SEED}) % 18446744073709551616 AS UBIGINT) AS x FROM range(6) AS g(i)")}),
+s(r, low, high, i) AS (SELECT r, r & lm, r >> lb, 0 FROM d, p
+    UNION ALL SELECT r, low, high, CASE WHEN i = 5 AND (high << lb) | low >= n THEN 0 ELSE i + 1 END
+    FROM (SELECT r, i, n, lb, CASE WHEN i % 2 = 0 THEN xor(low, x & lm) ELSE low END AS low, CASE WHEN i % 2 = 1 THEN xor(high, x & hm) ELSE high END AS high
+        FROM ({_mixed_sql("SELECT s.r, s.i, s.low, s.high, xor(CASE WHEN s.i % 2 = 1 THEN s.low ELSE s.high END, k.x) AS x FROM s JOIN k ON s.i = k.i")}), p))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(((high << lb) | low) % 16 AS INT) AS shard, CAST(((high << lb) | low) // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM d JOIN s ON d.r = s.r AND s.i = 6, p
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_extract": op2_extract,
@@ -123,4 +157,4 @@ QUERIES = {
     "op10_shard": op10_shard,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_vectors": OP5_SQL, "op8_format_chats": OP8_SQL}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_vectors": OP5_SQL, "op8_format_chats": OP8_SQL, "op10_shard": OP10_SQL}
