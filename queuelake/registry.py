@@ -20,6 +20,7 @@ from queuelake.plans.engine import Engine
 from queuelake.plans.scratch import materialise, shared_dir
 from queuelake.plans.settings import CloudSettings, Settings
 from queuelake.sources import store, wal
+from queuelake.sources.objects import ObjectStore
 from queuelake.streaming import follow as streams
 
 INSTANCE, PREFIX = "0a1b2c", "backup/"
@@ -488,6 +489,57 @@ def uintn_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT event_id AS id, CASE WHEN event_id < 600 THEN 'DISK_WAL' ELSE 'MEMORY' END AS source FROM events")
+def memory_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory has the ids from 600 on, and the disk all: what both have comes from memory."""
+    ids = _one_queue(spark, sf_dir).select("id")
+    memory = ids.where("id >= 600")
+    return tiers.memory_first(ids.withColumn("source", F.lit("DISK_WAL")), memory.withColumn("source", F.lit("MEMORY")), reads.first_id(memory))
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of files in two tiers: the store has those up to the second, the WAL those from the second on."""
+    index = _index(spark, sf_dir).select("queue", "file_id", "bytes")
+    return index.where("file_id <= 2").withColumn("tier", F.lit("STORE")).unionByName(index.where("file_id >= 2").withColumn("tier", F.lit("WAL")))
+
+
+@query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, CASE WHEN file_id <= 2 THEN 'DISK_STORE' ELSE 'DISK_WAL' END AS source FROM i")
+def file_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tier that answers for each file."""
+    return tiers.cascade_files(_copies(spark, sf_dir).withColumn("source", F.concat(F.lit("DISK_"), "tier")))
+
+
+@query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, CASE WHEN file_id <= 2 THEN 'STORE' ELSE 'WAL' END AS tier, bytes FROM i")
+def retained_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local copy of each file that retention would delete."""
+    return tiers.deletable_copies(_copies(spark, sf_dir)).select("queue", "file_id", "tier", "bytes")
+
+
+@query(f"WITH {E}, {SEG}, {INDEX} SELECT queue, file_id, num_entries FROM i WHERE file_id < 3")
+def closed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What compaction may take while the third file is being written."""
+    return wal.closed_files(_index(spark, sf_dir), 3).select("queue", "file_id", "num_entries")
+
+
+@query(f"{_CROPPED} SELECT s.queue, s.file_id, s.id, md5(s.props) AS digest FROM s JOIN c USING (queue, file_id) WHERE s.id <= c.last_id - c.cut")
+def wal_files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that executors wrote, found by their paths and read back as far as they are valid."""
+    objects = ObjectStore(spark, _scratch(spark))
+    key = F.expr("substring(path, 2)")
+    named = _wal_files(spark, sf_dir).withColumn("path", naming.wal_path("", F.col("queue"), F.col("file_id")))
+    objects.write_files(named.select(key.alias("key"), "content")).write.format("noop").mode("overwrite").save()
+    return wal.decode(wal.read_files(spark, objects.root)).select("queue", "file_id", "id", F.md5("data").alias("digest"))
+
+
+@query("""WITH x AS (SELECT event_id, CAST(event_id AS HUGEINT) * 1000000007 * (user_id + 1) AS a FROM events)
+SELECT event_id, printf('%04x', length(to_hex(a))) || lower(to_hex(a)) AS key, CAST(a AS VARCHAR) AS back FROM x""")
+def uintn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that sort as wide numbers do, and hex digits back to numbers."""
+    a = (F.col("event_id").cast("decimal(38,0)") * 1000000007 * (F.col("user_id") + 1)).cast("decimal(38,0)").cast("string")
+    rows = _table(spark, sf_dir, "events").select("event_id", uintn.key_big(a).alias("key"))
+    return rows.select("event_id", "key", uintn.from_hex_big(F.expr("substring(key, 5)")).alias("back"))
+
+
 # Streams
 
 
