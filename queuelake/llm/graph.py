@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelake.llm.common import save, with_groups
+from queuelake.llm.common import save
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v) with m: the least of u and its neighbours v. A hub's rows meet in no list, and the join may be split where they are many."""
-    return with_groups(edges, "u", m=F.min("v")).select("u", "v", F.least("u", "m").alias("m"))
-
-
-def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """A row (u, v) for each of ``pairs`` of columns of a row, without loops."""
-    each = F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))).alias("e")
-    return edges.select(each).select("e.u", "e.v").where("u <> v")
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, m): the least node below each node that has edges down. Written, so that a join with it has a plain shuffle on either side, which can be split where a hub is hot."""
+    return save(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,21 +18,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round rewrites the edges twice, so that nodes point ever more directly
     at their component's least node; the number of rounds follows the logarithm
-    of the components' diameters. Each step's edges are written to the shared
-    folder. Self-loops and repeated edges do no harm.
+    of the components' diameters. An edge (u, v) is kept once, as v < u: the
+    least neighbour of a node is then the least v, and no edge is needed in both
+    directions. Each step's edges are written to the shared folder. Self-loops
+    and repeated edges do no harm.
     """
     big, small = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = save(edges.where("a <> b").select(big, small).distinct())
-    state = None
     while True:
-        large = _with_least(_pairs(now, ("u", "v"), ("v", "u"))).where("v > u")
-        large = save(_pairs(large, ("v", "m")).distinct())
-        now = save(_pairs(_with_least(large), ("v", "m"), ("u", "m")).distinct())
-        # Equal counts and sums of hashes twice in a row: the edges have come to rest.
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == state or not after[0]:
+        least = _least(now)
+        # Large star: what points at v points at the least below v.
+        jumps = now.join(least, F.col("v") == F.col("node"), "left")
+        rows, jumping = jumps.agg(F.count("*"), F.count("node")).first()
+        # Nobody points at two nodes or at one that points on: every component is a star around its least node.
+        if not jumping and rows == least.count():
             break
-        state = after
+        large = save(jumps.select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # Small star: a node and all below it point at the least of them.
+        least = _least(large)
+        below = large.join(least, F.col("u") == F.col("node")).where("v <> m").select("v", "m")
+        now = save(least.unionByName(below.withColumnRenamed("v", "node")).distinct().select(F.col("node").alias("u"), F.col("m").alias("v")))
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(heads)

@@ -14,7 +14,8 @@ words, within the diagonal band that the threshold leaves; the similarity is its
 length over the number of words in either text less that length, so that one
 changed word costs two words and not ten shingles. Whatever has 0.8 of its
 shingles in common, in order, has 0.8 of its words. Tiles
-emit a spanning forest of the links found, and components of these edges are
+emit the links found as stars around the least text of those linked, so that
+tiles of the same texts emit the same edges, and components of these edges are
 the classes.
 
 Large buckets take two passes. The first compares every block with itself and
@@ -271,8 +272,11 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], words: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links in a tile: all pairs of one block, or the pairs across two. Texts of one component (``known``) are joined from the start."""
+def tile_edges(blocks: list[int], known: list[bytes], words: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """The links in a tile, all pairs of one block or the pairs across two, as stars: (c, the least component of those that links join to c).
+
+    Texts of one component (``known``) are joined from the start. Tiles that hold the same texts give the same edges, in whatever order they have them.
+    """
     first_of: dict[bytes, int] = {}
     parent = [first_of.setdefault(c, i) for i, c in enumerate(known)]
 
@@ -291,7 +295,6 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], words:
     common = _common([elements[i] for i in one], [elements[i] for i in two])
     n, m = (np.array([len(elements[i]) for i in part], np.float64) for part in (one, two))
     could = common >= np.ceil(THRESHOLD / (1 + THRESHOLD) * (n[:, None] + m[None, :]) - 1e-9)
-    edges = []
     for x, y in zip(*np.nonzero(could)):
         if inside and x >= y:
             continue
@@ -299,8 +302,10 @@ def tile_edges(nodes: list[bytes], blocks: list[int], known: list[bytes], words:
         a, b = root(i), root(j)
         if a != b and linked(words[i], words[j]):
             parent[a] = b
-            edges.append((nodes[i], nodes[j]))
-    return edges
+    least: dict[int, bytes] = {}
+    for i, c in enumerate(known):
+        least[root(i)] = min(c, least.get(root(i), c))
+    return sorted({(c, least[root(i)]) for i, c in enumerate(known)} - {(c, c) for c in known})
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -309,25 +314,24 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
-    """The edges (a, b) that the tiles (tile, node, block, known) find."""
+    """The edges (a, b) between components (``known``) that the tiles (tile, node, block, known) find."""
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        tile, nodes, blocks, known, words = None, [], [], [], []
+        tile, blocks, known, words = None, [], [], []
 
         def edges() -> Iterator[pa.RecordBatch]:
-            found = tile_edges(nodes, blocks, known, words) if len(nodes) > 1 else []
+            found = tile_edges(blocks, known, words) if len(words) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
 
         for batch in batches:
-            for t, node, block, component, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "block", "known", "text"))):
+            for t, block, component, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "known", "text"))):
                 if t != tile:
                     yield from edges()
-                    tile, nodes, blocks, known, words = t, [], [], [], []
-                nodes.append(node)
+                    tile, blocks, known, words = t, [], [], []
                 blocks.append(block)
                 known.append(component)
                 words.append(hasher.words(text))
@@ -336,7 +340,7 @@ def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
     needed = tiles.select("node").distinct()
     small = needed.count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(needed) if small else needed, "node", "left_semi").dropDuplicates(["node"])
-    rows = tiles.join(wanted, "node").select("tile", "node", "block", "known", "text").repartition("tile").sortWithinPartitions("tile")
+    rows = tiles.join(wanted, "node").select("tile", "block", "known", "text").repartition("tile").sortWithinPartitions("tile")
     return save(rows.mapInArrow(compare, "a binary, b binary"))
 
 

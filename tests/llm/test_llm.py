@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from queuelake.llm import bpe, chat, extraction, merkle, minhash, mixing, quality, registry, secrets, sharding, vectors
-from queuelake.llm.common import number_rows
+from queuelake.llm import bpe, chat, extraction, graph, merkle, minhash, mixing, quality, registry, secrets, sharding, vectors
+from queuelake.llm.common import number_rows, save
 from queuelake.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,40 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_write_few_rows(spark, monkeypatch):
+    """A star is at rest as it comes, and a longer path costs a few rows an edge and round."""
+    written = []
+
+    def counted(df):
+        out = save(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "save", counted)
+    for edges, most in (([(0, k) for k in range(1, 3001)], 2), ([(k // 10, k) for k in range(1, 3001)], 12)):
+        del written[:]
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == 3001 and {r["component"] for r in got} == {0}
+        assert sum(written) <= most * len(edges)
+    plan = components(spark.createDataFrame(edges, "a long, b long"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
+def test_tiles_of_the_same_texts_give_the_same_edges():
+    rng = random.Random(4)
+    texts = [np.arange(60, dtype=np.uint64) + np.uint64(i // 20 * 1000) for i in range(60)]
+    for i, t in enumerate(texts):
+        t[rng.randrange(60)] = 10**6 + i
+    names = [b"%03d" % i for i in rng.sample(range(1000), 60)]
+    want = {(c, min(names[i // 20 * 20 : i // 20 * 20 + 20])) for i, c in enumerate(names)} - {(c, c) for c in names}
+    for _ in range(3):
+        order = rng.sample(range(60), 60)
+        assert set(minhash.tile_edges([0] * 60, [names[i] for i in order], [texts[i] for i in order])) == want
+    # Across two blocks, with a component of either known.
+    known = [names[0] if i < 10 else names[10] if i < 20 else c for i, c in enumerate(names)]
+    assert minhash.tile_edges([i // 10 % 2 for i in range(20)], known[:20], texts[:20]) == [(max(names[0], names[10]), min(names[0], names[10]))]
+
+
 # 1. Quality
 
 
